@@ -57,6 +57,7 @@ class Compiler:
         self.subjects: set[str] = set()
         self.bounds: dict[str, list[Bound]] = {}
         self.graph: object = None
+        self.inner = 0  # depth within OPTIONAL, MINUS and EXISTS
 
     def run(self, node: A.Node) -> DataFrame:
         predicates: set[str] = set()
@@ -204,9 +205,13 @@ class Compiler:
         if series_id is not None:
             known = static.select(col(series_id).cast("string").alias("i"), col(series_id + "_dt").alias("d")).distinct()
             least, most, rows = known.agg(F.min("d"), F.max("d"), F.count(F.lit(1))).first()
-            if least != most:
+            if least == most:
+                frame = self.series.scan(least, bounds)
+            elif self.inner:
+                # the rows outside decide which of the series matter, so each datatype is read from its own table
+                frame = self._all_types([r["d"] for r in known.select("d").distinct().orderBy("d").limit(17).collect()], bounds)
+            else:
                 raise InconsistentDatatype(f"the series of {dp} are of datatypes {least} and {most}")
-            frame = self.series.scan(least, bounds)
             if rows <= MOST_PUSHED_IDS:
                 pushed = [r["i"] for r in known.select("i").distinct().collect()]
                 frame = frame.where(F.col("id").isin(pushed))
@@ -216,6 +221,9 @@ class Compiler:
         else:
             frame = self.series.scan(None, bounds)
         micros = F.unix_micros("timestamp")
+        mixed = "datatype" in frame.columns
+        if not isinstance(frame.schema["timestamp"].dataType, T.TimestampType):
+            frame = frame.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
         columns = {dp.name: F.concat(F.col("id"), F.lit("#"), micros.cast("string"))}
         conds = []
         for kind, source in (("hasValue", "value"), ("hasTimestamp", "timestamp")):
@@ -229,7 +237,7 @@ class Compiler:
         for c in conds:
             frame = frame.where(c)
         key = self.fresh()
-        frame = frame.where(F.col("id").isNotNull() & F.col("timestamp").isNotNull() & F.col("value").isNotNull()).select(F.col("id").cast("string").alias(key), *(c.alias(n) for n, c in columns.items()))
+        frame = frame.where(F.col("id").isNotNull() & F.col("timestamp").isNotNull() & F.col("value").isNotNull()).select(F.col("id").cast("string").alias(key), *([F.col("datatype").alias(f"{series_id}_dt")] if mixed else []), *(c.alias(n) for n, c in columns.items()))
         shared = [n for n in columns if n in static.columns]
         if shared:
             left, frame = self._align(Solutions(static), Solutions(frame), shared)
@@ -240,7 +248,22 @@ class Compiler:
         static = static.withColumn(series_id, col(series_id).cast("string"))
         if pushed or rows <= MOST_BROADCAST:
             static = F.broadcast(static) if not shared else static
-        return Solutions(frame.join(static, [series_id, *shared]), sol.nullable)
+        return Solutions(frame.join(static, [series_id, *([f"{series_id}_dt"] if mixed else []), *shared]), sol.nullable)
+
+    def _all_types(self, datatypes: list[str], bounds: Sequence[Bound]) -> DataFrame:
+        if len(datatypes) > 16:
+            raise InconsistentDatatype("a pattern has series of more than 16 datatypes")
+        frames = [self.series.scan(d, bounds).withColumn("datatype", F.lit(d)) for d in datatypes]
+        types = [f.schema["value"].dataType for f in frames]
+        kind = T.LongType() if all(isinstance(t, WHOLE) for t in types) else T.DoubleType() if all(isinstance(t, NUMERIC) for t in types) else T.StringType()
+        return reduce(DataFrame.unionByName, (f.withColumn("value", F.col("value").cast(kind)) for f in frames))
+
+    def _inside(self, node: A.Node) -> Solutions:
+        self.inner += 1
+        try:
+            return self.compile(node)
+        finally:
+            self.inner -= 1
 
     def _join(self, node: A.Join) -> Solutions:
         return self._joined(self.compile(node.left), self.compile(node.right), "inner", None)
@@ -304,10 +327,10 @@ class Compiler:
             holds = F.coalesce(e.flag(cond), F.lit(False)) if cond is not None else F.lit(True)
             made = [F.when(holds, e.typed(by[v.name])[0]).alias(v.name) for v, _ in extends if v.name not in left.names]
             return Solutions(left.df.select("*", *made), left.nullable | {v.name for v, _ in extends})
-        return self._joined(left, self.compile(inner), "left", cond, extends)
+        return self._joined(left, self._inside(inner), "left", cond, extends)
 
     def _minus(self, node: A.Minus) -> Solutions:
-        a, b = self.compile(node.left), self.compile(node.right)
+        a, b = self.compile(node.left), self._inside(node.right)
         shared = self._shared(a, b)
         if not shared:
             return a
@@ -437,7 +460,7 @@ class Compiler:
         while isinstance(inner, A.Filter) and not A.references(inner.cond) <= set(A.variables(inner.of)):
             conds.append(inner.cond)
             inner = inner.of
-        sol = self.compile(inner)
+        sol = self._inside(inner)
         shared = self._shared(outer, sol)
         inside = {n: self.fresh() for n in sol.names}
         schema = {f.name: f.dataType for f in sol.df.schema}

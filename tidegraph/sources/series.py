@@ -10,6 +10,7 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegraph.session import col
 
@@ -106,7 +107,7 @@ class TimeSeriesTable:
 
 
 class TableSource:
-    """Several tables, one for each datatype."""
+    """Several tables, one for each datatype; without a datatype all of them, their values brought to one type."""
 
     def __init__(self, spark: SparkSession, tables: Sequence[TimeSeriesTable]) -> None:
         if not tables:
@@ -114,11 +115,18 @@ class TableSource:
         self.spark, self.tables = spark, list(tables)
 
     def scan(self, datatype: str | None, bounds: Sequence[Bound] = ()) -> DataFrame:
+        if datatype is None:
+            frames = [self._read(t, bounds) for t in self.tables]
+            types = [f.schema["value"].dataType for f in frames]
+            kind = types[0] if len(set(types)) == 1 else T.DoubleType() if all(isinstance(t, T.NumericType) for t in types) else T.StringType()
+            return reduce(DataFrame.unionByName, (f.withColumn("value", F.col("value").cast(kind)) for f in frames))
         local = lambda d: d.rpartition("#")[2].removeprefix("xsd:")
-        fit = self.tables[:1] if datatype is None and len(self.tables) == 1 else [t for t in self.tables if datatype is not None and local(t.value_datatype) == local(datatype)]
-        if not fit:
+        fit = next((t for t in self.tables if local(t.value_datatype) == local(datatype)), None)
+        if fit is None:
             raise SeriesError(f"no table holds series of datatype {datatype}")
-        t = fit[0]
+        return self._read(fit, bounds)
+
+    def _read(self, t: TimeSeriesTable, bounds: Sequence[Bound]) -> DataFrame:
         rows = t.load(self.spark)
         cond = t.partition_condition(bounds)
         if cond is not None:
