@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegraph.session import col
+from tidegraph.session import col, ship
 
 _STATE = "k {k}, part bigint, n_rows bigint, n_values bigint, v_min {v}, v_max {v}, v_sum {v}, first_o bigint, last_o bigint, first_v {v}, last_v {v}, max_gap bigint, change {v}"
 
@@ -132,6 +132,7 @@ def per_key_stats(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     rows with order and value). What no row supports is null, n_rows and n_values are 0 or more, change is 0.
     Repeated rows count each time. An empty table gives an empty result; other columns are not read.
     """
+    ship(df.sparkSession)
     o_type, v_type = df.schema[order].dataType, df.schema[value].dataType
     whole = isinstance(v_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
     as_order = F.unix_micros(col(order)) if isinstance(o_type, T.TimestampType) else F.unix_date(col(order)) if isinstance(o_type, T.DateType) else col(order)

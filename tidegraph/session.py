@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +30,24 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g",
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the executors' Python, once per application, so that nothing needs to be installed there."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = Path(__file__).parent
+    folder = tempfile.mkdtemp(prefix="tidegraph-code-")
+    path = os.path.join(folder, "tidegraph_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
 def col(name: str) -> Column:
     """The column of exactly this name, dots and blanks included."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -61,6 +82,7 @@ class Spool:
     """
 
     def __init__(self, spark: SparkSession) -> None:
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/spool-{uuid.uuid4().hex}"
         self.count = 0
