@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.llm.lookalike import invisible_ranges, ligatures, single_forms
-from tidegraph.session import col
+from tidegraph.session import col, ship
 
 Q = 8  # letters of a gram; grams go over letters and digits only
 BAND = 64  # letters from one diagonal band to the next; a band is twice as wide
@@ -269,6 +269,7 @@ def leaked_items(docs: DataFrame, row: str, text: str, items: DataFrame, item: s
     are reported each time, repeated items (same item number) once. Empty tables give no rows.
     """
     spark = docs.sparkSession
+    ship(spark)
     held = items.where(col(item).isNotNull() & col(item_text).isNotNull()).select(col(item).cast("bigint").alias("item"), col(item_text).alias("text"))
     plain = docs.where(col(text).isNotNull()).select(col(row).alias("row"), col(text).alias("text"))
     schema = f"row {docs.schema[row].dataType.simpleString()}, item bigint"

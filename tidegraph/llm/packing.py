@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegraph.session import Spool, col
+from tidegraph.session import Spool, col, ship
 
 #: A token is a maximal run of word characters or of other characters that are not blank (the WordPunct tokenizer).
 WORD_PUNCT = r"\w+|[^\w\s]+"
@@ -29,6 +29,7 @@ def vocabulary_count(df: DataFrame, text: str, vocabulary: str, into: str = "tok
     """df with ``into``, the number of tokens of text (0 of null) by a tokenizer file of the ``tokenizers`` library; executors read the path."""
     plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
     at = df.columns.index(text)
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
