@@ -53,7 +53,7 @@ def exact_percentiles(
     continuous: interpolated between the two ranks around p (n - 1), as percentile_cont; else the value of rank ceil(p n), as
     percentile_disc. The error is at most ``tolerance``, which is also the bound after merging, as counts below a midpoint add up
     over any division of the rows. value: any numeric type; integers stay exact (results are doubles if continuous).
-    Null and NaN values take no part, a group without others has no row; infinite values have their rank. A null key is a group of
+    Null and NaN values take no part, a group without others has no row; infinite values have their rank (next to one, interpolation gives it). A null key is a group of
     its own. Repeated rows count each time. An empty table gives no rows. Names of other columns do not matter.
     """
     spool = spool or Spool(df.sparkSession)
@@ -101,7 +101,8 @@ def exact_percentiles(
         state, path = new, new_path
     middle = F.col("lo") if tolerance == 0 else F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((F.col("lo") + F.col("hi")) / 2)
     best = state.groupBy(*names, "p").agg(F.first("n").alias("n"), F.first("weight").alias("weight"), F.min_by(middle, "rank").alias("a"), F.max_by(middle, "rank").alias("b"))
-    v = F.when(F.col("a") == F.col("b"), F.col("a").cast("double")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("weight")) if continuous else F.col("a")
+    between = F.when(F.col("a") == float("-inf"), float("-inf")).when(F.col("b") == float("inf"), float("inf")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("weight"))
+    v = F.when(F.col("a") == F.col("b"), F.col("a").cast("double")).otherwise(between) if continuous else F.col("a")
     return best.select(*(F.col(n).alias(k) for n, k in zip(names, keys)), "p", "n", v.alias("v"))
 
 

@@ -9,26 +9,14 @@ from tidegraph.llm.leakage import leaked_items
 from tidegraph.llm.lookalike import form_sql, lookalike_pairs, unify_text
 from tidegraph.llm.packing import pack, word_punct_count
 from tidegraph.llm.percentiles import cell_percentiles, count_cells, exact_percentiles, merge_cells
+from tidegraph.plans.queries import HEAD, PRODUCTION, engine, table
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def production_series(triples: DataFrame) -> DataFrame:
-    """(site_label, wtur_label, id) of the graph's production series; the graph is small and of fixed size."""
-    edge = lambda p, s, o: triples.where(F.col("p") == p).select(F.col("s").alias(s), F.col("o").alias(o)).distinct()
-    # each part of a turbine carries the aspect of the next
-    step = lambda a, b: edge("rds:hasFunctionalAspect", a, "aspect").join(edge("rds:hasFunctionalAspectNode", b, "aspect"), "aspect").drop("aspect")
-    site = edge("rds:hasFunctionalAspect", "site", "aspect").join(edge("rdfs:label", "site", "site_label"), "site").join(edge("rdf:type", "site", "kind").where("kind = 'rds:Site'"), "site")
-    turbine = site.join(edge("rdfs:label", "aspect", "wtur_label"), "aspect").join(edge("rds:hasFunctionalAspectNode", "turbine", "aspect"), "aspect")
-    series = turbine.select("site_label", "wtur_label", "turbine").join(step("turbine", "system"), "turbine").join(step("system", "generator"), "system").join(edge("otit:hasTimeseries", "generator", "series"), "generator")
-    production = series.join(edge("rdfs:label", "series", "series_label").where("series_label = 'Production'"), "series")
-    return production.join(edge("otit:hasExternalId", "series", "id"), "series").select("site_label", "wtur_label", "id").distinct()
-
 
 def _production(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "ts").select("id", "ts", "v").where("v is not null").join(F.broadcast(production_series(table(spark, d, "triples"))), "id")
+    """The production readings by turbine; the graph names the series, it is small and of fixed size."""
+    series = engine(spark, d).execute_hybrid_query(f"{HEAD} SELECT DISTINCT ?site_label ?wtur_label ?id WHERE {{ {PRODUCTION} ?ts otit:hasExternalId ?id }}")
+    return table(spark, d, "ts").select("id", "ts", "v").where("v is not null").join(F.broadcast(series), "id")
 
 
 KEYS = ["site_label", "wtur_label"]
