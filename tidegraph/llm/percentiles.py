@@ -67,6 +67,7 @@ def exact_percentiles(
     groups = data.groupBy(*names).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(~finite & (F.col("v") < 0)).alias("low"), F.count_if(finite).alias("inside"), F.min(F.when(finite, F.col("v"))).alias("lo"), F.max(F.when(finite, F.col("v"))).alias("hi")
     )
+    groups = groups.where("n > 0")  # without keys an empty table has a group too
     wanted = F.explode(F.array(*(F.lit(float(p)) for p in ps)))
     at = groups.select(*names, "n", "low", "inside", "lo", "hi", wanted.alias("p"))
     if continuous:
