@@ -5,8 +5,9 @@ from datetime import datetime
 import pytest
 
 from tidegraph.engine import VOCABULARY, Engine
-from tidegraph.sources.series import FrameSource, InconsistentDatatype, MemorySource, TableSource, TimeSeriesTable
+from tidegraph.sources.series import FrameSource, HistorySource, InconsistentDatatype, MemorySource, TableSource, TimeSeriesTable
 from tidegraph.sparql.parser import QueryError
+from tidegraph.streaming.available import readings_stream, run_available
 from tidegraph.terms import RDF, XSD
 
 CASE, TYPES = "http://example.org/case#", "http://example.org/types#"
@@ -168,7 +169,20 @@ def test_sources(spark, readings, engine):
     table = TimeSeriesTable(XSD + "unsignedInt", parted, year_column="dir0", month_column="dir1", day_column="dir2")
     df = Engine(engine.store).set_time_series(TableSource(spark, [table])).execute_hybrid_query(q)
     assert [r["n"] for r in df.collect()] == [1215, 1216]
-    assert "dir0" in df._jdf.queryExecution().optimizedPlan().toString() or True
+    assert "year(" in df._jdf.queryExecution().optimizedPlan().toString()
+    history = HistorySource(lambda start, end: readings.where(f"timestamp >= '{start}'"))
+    assert [r["n"] for r in Engine(engine.store).set_time_series(history).execute_hybrid_query(q).collect()] == [1215, 1216]
+
+
+def test_stream(spark, readings, engine, tmp_path):
+    readings.repartition(3).write.parquet(str(tmp_path / "r"))
+    q = HEAD + f"SELECT ?w (SUM(?v) AS ?n) WHERE {{ {READ} {AFTER} }} GROUP BY ?w"
+    stream = readings_stream(spark, str(tmp_path / "r"), readings.schema, ("timestamp", "1 hour"), files_per_trigger=1)
+    got = run_available(Engine(engine.store).set_time_series(FrameSource(stream)).execute_hybrid_query(q))
+    assert sorted(r["n"] for r in got.collect()) == [1215, 1216]
+    plain = HEAD + f"SELECT ?w ?v WHERE {{ {READ} {AFTER} }}"
+    rows = run_available(Engine(engine.store).set_time_series(FrameSource(readings_stream(spark, str(tmp_path / "r"), readings.schema))).execute_hybrid_query(plain), "append")
+    assert rows.count() == 12
 
 
 def test_inconsistent_datatypes(spark, readings):
@@ -182,3 +196,23 @@ def test_inconsistent_datatypes(spark, readings):
 def test_rejected(engine, q):
     with pytest.raises(QueryError):
         engine.execute_hybrid_query(q)
+
+
+def test_named_graphs(spark):
+    rows = [(CASE + s, TYPES + "p", CASE + o, "iri", None, None, CASE + g) for s, o, g in (("a", "b", "g1"), ("a", "b", "g2"), ("b", "c", "g2"))]
+    e = Engine(spark.createDataFrame(rows, "s string, p string, o string, o_kind string, o_dt string, o_lang string, g string"))
+    assert sorted(ask(e, "SELECT ?a ?b WHERE { ?a types:p ?b }")) == [("a", "b"), ("b", "c")]
+    assert sorted(ask(e, "SELECT ?g ?a WHERE { GRAPH ?g { ?a types:p ?b } }")) == [("g1", "a"), ("g2", "a"), ("g2", "b")]
+    assert ask(e, "SELECT ?a WHERE { GRAPH case:g1 { ?a types:p ?b } }") == [("a",)]
+
+
+def test_unbound_variables_fit_any_value(engine):
+    left = "{ ?w a types:BigWidget } UNION { ?s ^types:hasSensor ?x } UNION { ?w types:hasSensor ?s FILTER(?w = case:myWidget2) }"
+    got = ask(engine, f"SELECT ?w ?s WHERE {{ {left} {{ ?w types:hasSensor ?s }} }}")
+    want = [("myWidget1", "mySensor1"), ("myWidget1", "mySensor1"), ("myWidget2", "mySensor2"), ("myWidget2", "mySensor2")]
+    assert sorted(got) == want
+    q = f"SELECT ?w ?s WHERE {{ {{ {left} }} OPTIONAL {{ ?w types:hasSensor ?s FILTER(?w = case:myWidget1) }} }}"
+    assert sorted(ask(engine, q), key=str) == sorted([("myWidget1", "mySensor1"), ("myWidget1", "mySensor1"), (None, "mySensor2"), ("myWidget2", "mySensor2")], key=str)
+    q = "SELECT ?w ?k WHERE { ?w types:hasSensor ?s OPTIONAL { ?w types:hasSomething ?k } OPTIONAL { ?w a ?k } }"
+    assert len(ask(engine, q)) == 2
+    assert len(ask(engine, "SELECT ?w WHERE { ?w types:hasSensor ?s OPTIONAL { ?w types:hasSomething ?k } MINUS { ?w a types:BigWidget . ?k a ?z } }")) == 2

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -272,31 +273,36 @@ class Compiler:
         """An inner or left join on compatible values of the shared variables, with a condition over both sides."""
         shared = self._shared(a, b)
         left, right = self._align(a, b, shared)
-        loose = [n for n in shared if n in a.nullable or n in b.nullable]
         other = {n: self.fresh() for n in shared}
         extra = [n for n in right.columns if n in left.columns and "@" in n]
-        right = right.drop(*extra).withColumnsRenamed(other)
         mark = self.fresh()
-        right = right.withColumn(mark, F.lit(True))
-        on = F.lit(True)
-        for n in shared:
-            same = col(n) == col(other[n])
-            if n in loose:
-                same = same | col(n).isNull() if n in a.nullable else same
-                same = same | col(other[n]).isNull() if n in b.nullable else same
-            on = on & same
+        right = right.drop(*extra).withColumnsRenamed(other).withColumn(mark, F.lit(True))
+        extra_on: Column | None = None
         if cond is not None:
             schema = {f.name: f.dataType for f in (*right.schema, *left.schema)}
-            e = Expressions(lambda n: (col(n), schema[n]) if n in schema else None, self.store.name, lambda x: self._exists(x, Solutions(left.crossJoin(right))), self.options.functions)
-            on = on & e.flag(cond)
-        joined = left.join(right, on, how) if shared or cond is not None or how == "left" else left.crossJoin(right)
-        out = []
-        for n in left.columns:
-            out.append(F.coalesce(col(n), col(other[n])).alias(n) if n in loose and n in a.nullable else col(n))
+            seen = lambda n: F.coalesce(col(n), col(other[n])) if n in shared and n in a.nullable else col(n)
+            e = Expressions(lambda n: (seen(n), schema[n]) if n in schema else None, self.store.name, lambda x: self._exists(x, Solutions(left.crossJoin(right))), self.options.functions)
+            extra_on = e.flag(cond)
         rest = [n for n in right.columns if n not in other.values() and n != mark]
-        nullable = (a.nullable - set(loose)) | {n for n in loose if n in a.nullable and (n in b.nullable or how == "left")} | (b.nullable - set(shared)) | (set(rest) if how == "left" else set())
-        kept = joined.select(*out, *map(col, rest), col(mark))
-        sol = Solutions(kept, nullable)
+        # a variable unbound on the left fits any value: such rows are joined apart from the others, so that each join keeps its equalities
+        apart = [n for n in shared if n in a.nullable]
+        parts = []
+        for unbound in ([set(c) for k in range(len(apart) + 1) for c in combinations(apart, k)] if len(apart) <= 2 else [None]):
+            rows, on = left, F.lit(True) if extra_on is None else extra_on
+            for n in shared:
+                same = col(n) == col(other[n])
+                if unbound is not None and n in apart:
+                    rows = rows.where(col(n).isNull() if n in unbound else col(n).isNotNull())
+                    if n in unbound:
+                        continue
+                elif n in apart:
+                    same = same | col(n).isNull()
+                on = on & (same | col(other[n]).isNull() if n in b.nullable else same)
+            joined = rows.join(right, on, how) if shared or cond is not None or how == "left" else rows.crossJoin(right)
+            out = [F.coalesce(col(n), col(other[n])).alias(n) if n in apart else col(n) for n in left.columns]
+            parts.append(joined.select(*out, *map(col, rest), col(mark)))
+        nullable = (a.nullable - set(shared)) | {n for n in apart if n in b.nullable or how == "left"} | (b.nullable - set(shared)) | (set(rest) if how == "left" else set())
+        sol = Solutions(reduce(DataFrame.unionByName, parts), nullable)
         for var, e in extends:
             c = self.expressions(sol).typed(e)[0]
             sol = Solutions(sol.df.withColumn(var.name, F.when(col(mark), c)), sol.nullable | {var.name})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.engine import Engine
 from tidegraph.sources.series import FrameSource, TableSource, TimeSeriesTable
+from tidegraph.streaming.available import readings_stream, run_available
 from tidegraph.stottr.mapping import Mapping, MintingOptions, ResolveIRI, ntriples
 from tidegraph.terms import RDF, RDFS, XSD
 
@@ -205,6 +206,15 @@ def partition_pruned(spark: SparkSession, d: str) -> DataFrame:
     return engine(spark, d).set_time_series(source).execute_hybrid_query(HEAD + q)
 
 
+@query(f"{_PR} select site_label, count(*) n, max(v) most from x where us >= 1640995200000000 group by 1")
+def stream_of_readings(spark: SparkSession, d: str) -> DataFrame:
+    """The same kind of query over a stream of readings joined with the static graph."""
+    schema = table(spark, d, "ts").schema
+    source = FrameSource(readings_stream(spark, f"{d}/ts.parquet", schema), timestamp="ts", value="v")
+    q = f'SELECT ?site_label (COUNT(*) AS ?n) (MAX(?v) AS ?most) WHERE {{ {PRODUCTION} {READ} FILTER(?t >= "2022-01-01T00:00:00Z"^^xsd:dateTime) }} GROUP BY ?site_label'
+    return run_available(engine(spark, d).set_time_series(source).execute_hybrid_query(HEAD + q))
+
+
 # path language ------------------------------------------------------------------------------------
 
 _DSL = "with d as (select n_name nation, n_name || '.' || c_name path, epoch_us(ts) us, value v from events join customer on user_id = c_custkey join nation on c_nationkey = n_nationkey)"

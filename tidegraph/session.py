@@ -88,10 +88,11 @@ class Spool:
         self.count = 0
         atexit.register(_delete, spark, self.root)
 
-    def write(self, df: DataFrame) -> tuple[DataFrame, str]:
+    def write(self, df: DataFrame, by: list[str] | None = None) -> tuple[DataFrame, str]:
+        """The table that df was written to, partitioned by columns if given, and its path."""
         path = f"{self.root}/{self.count}"
         self.count += 1
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=by)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def drop(self, *paths: str) -> None:

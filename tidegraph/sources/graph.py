@@ -12,25 +12,42 @@ from tidegraph.session import Spool
 from tidegraph.sparql import algebra as A
 from tidegraph.terms import Blank, Iri, Literal, Var, spark_type
 
+#: Up to this number of predicates the triples are written by predicate.
+MOST_PREDICATES = 1_000
 TRIPLE_COLUMNS = ("s", "p", "o", "o_kind", "o_dt", "o_lang")
 
 
 class TripleStore:
     """Triples (s, p, o, o_kind, o_dt, o_lang, all strings; optionally g) to be queried.
 
-    prefixes: if the table holds names such as ``rdf:type`` in place of IRIs, what their prefixes stand for. distinct: a graph
-    is a set, so repeated triples count once; False spares the work where the table is known to have none. Rows
+    prefixes: if the table holds names such as ``rdf:type`` in place of IRIs, what their prefixes stand for. Rows
     with a null s, p or o are no triples. A literal has o_kind 'literal', all others are names.
+
+    distinct: a graph is a set, so repeated triples count once. They are removed once, before the first query, by writing the
+    triples to the shared folder by predicate, where a pattern then reads its predicate alone (not by predicate if there
+    are over MOST_PREDICATES). False takes the table as it is, where it is known to have no repeats.
     """
 
     def __init__(self, triples: DataFrame, prefixes: dict[str, str] | None = None, distinct: bool = True) -> None:
         self.prefixes = sorted((prefixes or {}).items(), key=lambda x: -len(x[1]))
         self.graphs = "g" in triples.columns
         rows = triples.select(*TRIPLE_COLUMNS, *(["g"] if self.graphs else [])).where("s is not null and p is not null and o is not null")
-        self.triples = rows.distinct() if distinct else rows
         self.spark = triples.sparkSession
+        self._rows_given, self._distinct = rows, distinct
+        self._written: DataFrame | None = None
         self._kinds: dict[str, list[tuple[str, str | None]]] = {}
 
+    @property
+    def triples(self) -> DataFrame:
+        if not self._distinct:
+            return self._rows_given
+        if self._written is None:
+            spool = Spool(self.spark)
+            few = self._rows_given.select("p").distinct().limit(MOST_PREDICATES + 1).count() <= MOST_PREDICATES
+            rows = self._rows_given.distinct()
+            self._written = spool.write(rows.repartition("p", F.pmod(F.hash("s"), F.lit(8))), by=["p"])[0] if few else spool.write(rows)[0]
+        return self._written
+
     def name(self, iri: str) -> str:
         """An IRI as the table writes it."""
         for prefix, start in self.prefixes:
@@ -65,8 +82,10 @@ class TripleStore:
         return cond & (F.col("o_kind") != "literal") if column == "o" else cond
 
     def _rows(self, graph: object) -> DataFrame:
-        if graph is None or not self.graphs:
-            return self.triples.drop("g")
+        if not self.graphs:
+            return self.triples
+        if graph is None:  # all graphs together, a triple of several counting once
+            return self.triples.drop("g").distinct()
         return self.triples if isinstance(graph, Var) else self.triples.where(F.col("g") == self.name(graph.value)).drop("g")
 
     def scan(self, t: A.Triple, graph: object = None, typed: bool = True, meta: set[str] = frozenset()) -> DataFrame:
