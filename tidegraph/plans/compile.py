@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 from functools import reduce
 from itertools import combinations
@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tidegraph.functions.aggregates import aggregate
 from tidegraph.functions.expressions import NUMERIC, WHOLE, Expressions, Typed
-from tidegraph.session import col
+from tidegraph.session import Spool, col
 from tidegraph.sources.graph import TripleStore
 from tidegraph.sources.series import Bound, InconsistentDatatype, SeriesError, SeriesSource
 from tidegraph.sparql import algebra as A
@@ -39,6 +39,20 @@ class Solutions:
         return self.df.columns
 
 
+@dataclass
+class Found:
+    """What the graph's solutions say of a series variable."""
+
+    name: str
+    rows: int
+    series: int
+    known: DataFrame
+    few: list[str] | None
+    least: str | None
+    most: str | None
+    first: bool = True  # whether the solutions hold no readings yet
+
+
 @dataclass
 class Options:
     vocabulary: str = "urn:tidegraph:series#"
@@ -53,6 +67,7 @@ class Compiler:
     def __init__(self, store: TripleStore, series: SeriesSource | None, options: Options) -> None:
         self.store, self.series, self.options = store, series, options
         self.spark = store.spark
+        self.spool = Spool(store.spark)
         self.count = 0
         self.meta: set[str] = set()
         self.subjects: set[str] = set()
@@ -99,6 +114,9 @@ class Compiler:
                             of_expr(z)
 
         of_node(node)
+        voc = self.options.vocabulary
+        if voc + "hasDataPoint" in predicates:
+            predicates |= {voc + "hasExternalId", voc + "hasDatatype"}
 
     # helpers ------------------------------------------------------------------------------------
 
@@ -162,94 +180,106 @@ class Compiler:
             static += [] if named else [A.Triple(s, Iri(voc + "hasExternalId"), Var(ids[s]))]
             ids[s] = named.name if named else ids[s]
             static.append(A.Triple(s, Iri(voc + "hasDatatype"), Var(ids[s] + "_dt")))
-        if points:
-            self.store.learn({voc + "hasExternalId", voc + "hasDatatype"})
         sol = self._static(static)
+        found: dict[str, Found] = {}
+        if ids:
+            # written once: it is counted, tells the series' ids and datatypes, and is joined
+            base, _ = self.spool.write(sol.df)
+            sol = Solutions(base, sol.nullable)
+            found = self._found(base, list(ids.values()))
         for dp, parts in points.items():
-            sol = self._points(sol, dp, parts, ids.get(owner.get(dp)))
+            sol = self._points(sol, dp, parts, found.get(ids.get(owner.get(dp))))
+            found = {k: replace(f, first=False) for k, f in found.items()}
         if ids:
             own = {n for i in ids.values() for n in (i, i + "_dt") if n.startswith("__c")}
             sol = Solutions(sol.df.drop(*own), sol.nullable)
         return sol
 
+    def _found(self, base: DataFrame, names: list[str]) -> dict[str, Found]:
+        """How many rows the graph's solutions have, and of each series variable how many ids and which datatypes."""
+        counts = [F.count(F.lit(1)).alias("rows")]
+        for n in names:
+            counts += [F.count_distinct(col(n)).alias(n), F.min(col(n + "_dt")).alias(n + "_least"), F.max(col(n + "_dt")).alias(n + "_most")]
+        r = base.agg(*counts).first()
+        out = {}
+        for n in names:
+            known = base.select(col(n).cast("string").alias("i"), col(n + "_dt").alias("d")).distinct()
+            few = [x["i"] for x in known.select("i").distinct().collect()] if r[n] <= MOST_PUSHED_IDS else None
+            out[n] = Found(n, r["rows"], r[n], known, few, r[n + "_least"], r[n + "_most"])
+        return out
+
     def _static(self, triples: list[A.Triple]) -> Solutions:
         """Joins triple patterns, those with more constants first, each one connected with those before where possible."""
         if not triples:
             return Solutions(self.spark.range(1).select())
         left = sorted(dict.fromkeys(triples), key=lambda t: -sum((2 if x is t.o or x is t.s else 1) for x in (t.s, t.p, t.o) if not isinstance(x, Var)) + 4 * (not isinstance(t.p, (Iri, Var))))
         out: DataFrame | None = None
+        types: dict[str, T.DataType] = {}
         while left:
-            bound = set(out.columns) if out is not None else set()
             names = lambda t: {v.name for v in (t.s, t.p, t.o) if isinstance(v, Var)}
-            t = next((t for t in left if names(t) & bound), left[0])
+            t = next((t for t in left if names(t) & types.keys()), left[0])
             left.remove(t)
             typed = not (isinstance(t.o, Var) and t.o.name in self.subjects)
-            scan = self.store.scan(t, self.graph, typed, self.meta)
+            scan, own = self.store.scan(t, self.graph, typed, self.meta)
             if out is None:
-                out = scan
+                out, types = scan, own
                 continue
-            a, b = self._align(Solutions(out), Solutions(scan), shared := [n for n in out.columns if n in scan.columns and "@" not in n])
-            b = b.drop(*(n for n in b.columns if "@" in n and n in a.columns))
-            out = a.join(b, shared) if shared else a.crossJoin(b)
+            shared = [n for n in own if n in types and "@" not in n]
+            if any(own[n] != types[n] for n in shared):
+                out, scan = self._align(Solutions(out), Solutions(scan), shared)
+                own = {f.name: f.dataType for f in scan.schema}
+            known = [n for n in own if "@" in n and n in types]
+            scan = scan.drop(*known) if known else scan
+            out = out.join(scan, shared) if shared else out.crossJoin(scan)
+            types |= own
         return Solutions(out)
 
-    def _points(self, sol: Solutions, dp: object, parts: dict[str, list], series_id: str | None) -> Solutions:
+    def _points(self, sol: Solutions, dp: object, parts: dict[str, list], found: Found | None) -> Solutions:
         """Joins the readings that a data point stands for."""
         if self.series is None:
             raise SeriesError("no series source is set")
         if not isinstance(dp, Var):
             raise SeriesError("a data point must be a variable")
-        times = [v for v in parts.get("hasTimestamp", ())]
-        bounds = [b for v in times if isinstance(v, Var) for b in self.bounds.get(v.name, ())]
-        pushed: list[str] = []
-        static = sol.df
-        if series_id is not None:
-            known = static.select(col(series_id).cast("string").alias("i"), col(series_id + "_dt").alias("d")).distinct()
-            least, most, rows = known.agg(F.min("d"), F.max("d"), F.count(F.lit(1))).first()
-            if least == most:
-                frame = self.series.scan(least, bounds)
-            elif self.inner:
-                # the rows outside decide which of the series matter, so each datatype is read from its own table
-                frame = self._all_types([r["d"] for r in known.select("d").distinct().orderBy("d").limit(17).collect()], bounds)
-            else:
-                raise InconsistentDatatype(f"the series of {dp} are of datatypes {least} and {most}")
-            if rows <= MOST_PUSHED_IDS:
-                pushed = [r["i"] for r in known.select("i").distinct().collect()]
-                frame = frame.where(F.col("id").isin(pushed))
-            # the graph's solutions were counted by series, of which each may have several; most have few
-            if rows <= MOST_BROADCAST and static.select(F.lit(1)).limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-                static = F.broadcast(static)
-        else:
+        bounds = [b for v in parts.get("hasTimestamp", ()) if isinstance(v, Var) for b in self.bounds.get(v.name, ())]
+        if found is None:
             frame = self.series.scan(None, bounds)
-        micros = F.unix_micros("timestamp")
+        elif found.least == found.most:
+            frame = self.series.scan(found.least, bounds)
+        elif self.inner:
+            # the rows outside decide which of the series matter, so each datatype is read from its own table
+            frame = self._all_types([r["d"] for r in found.known.select("d").distinct().orderBy("d").limit(17).collect()], bounds)
+        else:
+            raise InconsistentDatatype(f"the series of {dp} are of datatypes {found.least} and {found.most}")
+        if found and found.few is not None:
+            frame = frame.where(F.col("id").isin(found.few))
         mixed = "datatype" in frame.columns
         if not isinstance(frame.schema["timestamp"].dataType, T.TimestampType):
             frame = frame.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-        columns = {dp.name: F.concat(F.col("id"), F.lit("#"), micros.cast("string"))}
-        conds = []
+        columns = {dp.name: F.concat(F.col("id"), F.lit("#"), F.unix_micros("timestamp").cast("string"))}
         for kind, source in (("hasValue", "value"), ("hasTimestamp", "timestamp")):
             for v in parts.get(kind, ()):
-                if isinstance(v, Var):
+                if isinstance(v, Literal):
+                    frame = frame.where(F.col(source) == literal_column(v))
+                elif isinstance(v, Var):
                     if v.name in columns:
-                        conds.append(F.col(source) == columns[v.name])
+                        frame = frame.where(F.col(source) == columns[v.name])
                     columns[v.name] = F.col(source)
-                elif isinstance(v, Literal):
-                    conds.append(F.col(source) == literal_column(v))
-        for c in conds:
-            frame = frame.where(c)
-        key = self.fresh()
-        frame = frame.where(F.col("id").isNotNull() & F.col("timestamp").isNotNull() & F.col("value").isNotNull()).select(F.col("id").cast("string").alias(key), *([F.col("datatype").alias(f"{series_id}_dt")] if mixed else []), *(c.alias(n) for n, c in columns.items()))
-        shared = [n for n in columns if n in static.columns]
-        if shared:
-            left, frame = self._align(Solutions(static), Solutions(frame), shared)
-            static = left if left is not static and not shared else left
-        if series_id is None:
-            return Solutions(frame.drop(key) if not static.columns else static.join(frame.drop(key), shared) if shared else static.crossJoin(frame.drop(key)), sol.nullable)
-        frame = frame.withColumnRenamed(key, series_id) if series_id not in frame.columns else frame
-        static = static.withColumn(series_id, col(series_id).cast("string"))
-        if pushed or rows <= MOST_BROADCAST:
-            static = F.broadcast(static) if not shared else static
-        return Solutions(frame.join(static, [series_id, *([f"{series_id}_dt"] if mixed else []), *shared]), sol.nullable)
+        key = found.name if found else self.fresh()
+        frame = frame.where(F.col("id").isNotNull() & F.col("timestamp").isNotNull() & F.col("value").isNotNull())
+        frame = frame.select(F.col("id").cast("string").alias(key), *([F.col("datatype").alias(f"{key}_dt")] if mixed else []), *(c.alias(n) for n, c in columns.items()))
+        shared = [n for n in columns if n in sol.df.columns]
+        left, frame = self._align(sol, Solutions(frame), shared)
+        if found is None:
+            frame = frame.drop(key)
+            return Solutions(frame if not left.columns else left.join(frame, shared) if shared else left.crossJoin(frame), sol.nullable)
+        left = left.withColumn(key, col(key).cast("string"))
+        on = [key, *([f"{key}_dt"] if mixed else []), *shared]
+        if found.first and found.rows <= MOST_BROADCAST:
+            return Solutions(frame.join(F.broadcast(left), on), sol.nullable)
+        if not found.first and found.series <= MOST_BROADCAST:
+            # the left side has readings already: the series in question are picked before the shuffle
+            frame = frame.join(F.broadcast(found.known.select(F.col("i").alias(key)).distinct()), key, "left_semi")
+        return Solutions(frame.join(left, on), sol.nullable)
 
     def _all_types(self, datatypes: list[str], bounds: Sequence[Bound]) -> DataFrame:
         if len(datatypes) > 16:

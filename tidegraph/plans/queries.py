@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.engine import Engine
+from tidegraph.sources.graph import TripleStore
 from tidegraph.sources.series import FrameSource, TableSource, TimeSeriesTable
 from tidegraph.streaming.available import readings_stream, run_available
 from tidegraph.stottr.mapping import Mapping, MintingOptions, ResolveIRI, ntriples
@@ -21,14 +22,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_stores: dict[tuple[str, str, str], TripleStore] = {}
+
+
+def _store(spark: SparkSession, d: str, make: Callable[[], TripleStore], kind: str = "triples") -> TripleStore:
+    """A graph is prepared once in an application, for all queries on it."""
+    key = (spark.sparkContext.applicationId, d, kind)
+    if key not in _stores:
+        _stores[key] = make()
+    return _stores[key]
+
+
 def engine(spark: SparkSession, d: str) -> Engine:
     """The graph of ``triples`` with the readings of ``ts`` (int) and ``ts1`` (long), routed by datatype."""
     ts = table(spark, d, "ts")
+    store = _store(spark, d, lambda: TripleStore(table(spark, d, "triples"), PREFIXES))
     tables = [
         TimeSeriesTable(XSD + "int", ts, timestamp_column="ts", value_column="v"),
         TimeSeriesTable(XSD + "long", table(spark, d, "ts1")),
     ]
-    return Engine(table(spark, d, "triples"), "urn:otit#", PREFIXES).set_time_series(TableSource(spark, tables))
+    return Engine(store, "urn:otit#").set_time_series(TableSource(spark, tables))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,13 +184,17 @@ sparql("path_optional_negated", "SELECT ?a ?b ?c WHERE { ?a a types:BigWidget .
 
 def star_engine(spark: SparkSession, d: str) -> Engine:
     """Customers and nations as a graph, made by the mapper; the events of a customer are a series."""
+    store = _store(spark, d, lambda: TripleStore(_star_triples(spark, d)), "star")
+    return Engine(store).set_time_series(FrameSource(table(spark, d, "events"), "user_id", "ts", "value"))
+
+
+def _star_triples(spark: SparkSession, d: str) -> DataFrame:
     m = Mapping(STAR, spark)
     m.expand("ex:Nation", table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("Key"), F.concat(F.lit("urn:ex#nation"), "n_nationkey").alias("nation"), F.col("n_name").alias("name")), validate=False)
     c = table(spark, d, "customer")
     iri = lambda kind, key: F.concat(F.lit(f"urn:ex#{kind}"), key)
     m.expand("ex:Customer", c.select(F.col("c_custkey").cast("string").alias("Key"), iri("customer", "c_custkey").alias("customer"), iri("series", "c_custkey").alias("series"), F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), iri("nation", "c_nationkey").alias("nation")), validate=False)
-    e = table(spark, d, "events")
-    return Engine(m.triples()).set_time_series(FrameSource(e, "user_id", "ts", "value"))
+    return m.triples()
 
 
 STAR = """@prefix ex: <urn:ex#> . @prefix ts: <urn:tidegraph:series#> .

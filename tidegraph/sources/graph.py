@@ -88,8 +88,8 @@ class TripleStore:
             return self.triples.drop("g").distinct()
         return self.triples if isinstance(graph, Var) else self.triples.where(F.col("g") == self.name(graph.value)).drop("g")
 
-    def scan(self, t: A.Triple, graph: object = None, typed: bool = True, meta: set[str] = frozenset()) -> DataFrame:
-        """Solutions of one triple pattern: a column for each variable; for those in ``meta`` also language, datatype and kind."""
+    def scan(self, t: A.Triple, graph: object = None, typed: bool = True, meta: set[str] = frozenset()) -> tuple[DataFrame, dict[str, T.DataType]]:
+        """Solutions of one triple pattern, and their types: a column for each variable; for those in ``meta`` also language, datatype and kind."""
         if not isinstance(t.p, (Iri, Var)):
             rows = self._ends(t, graph)
         else:
@@ -105,16 +105,19 @@ class TripleStore:
             else:
                 columns[term.name] = at
         kind = self.object_type(t.p) if typed else T.StringType()
-        out = []
+        out, types = [], {}
         for name, at in columns.items():
             c = F.col(at)
+            types[name] = kind if at == "o" else T.StringType()
             out.append((c.try_cast(kind) if at == "o" and not isinstance(kind, T.StringType) else c).alias(name))
             if name in meta and isinstance(t.p, (Iri, Var)):
                 literal = (F.col("o_kind") == "literal") if at == "o" else F.lit(False)
                 out += [F.when(literal, F.coalesce("o_lang", F.lit(""))).alias(f"{name}@lang"), F.when(literal, F.coalesce("o_dt", F.lit("xsd:string"))).alias(f"{name}@dt"), literal.alias(f"{name}@literal")]
+                types |= {f"{name}@lang": T.StringType(), f"{name}@dt": T.StringType(), f"{name}@literal": T.BooleanType()}
         if isinstance(graph, Var) and self.graphs:
             out.append(F.col("g").alias(graph.name))
-        return rows.where(cond).select(*out)
+            types[graph.name] = T.StringType()
+        return rows.where(cond).select(*out), types
 
     # paths --------------------------------------------------------------------------------------
 
