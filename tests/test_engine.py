@@ -192,7 +192,7 @@ def test_inconsistent_datatypes(spark, readings):
         e.execute_hybrid_query(HEAD + f"SELECT ?v WHERE {{ {PATH} }}")
 
 
-@pytest.mark.parametrize("q", ["ASK {?a ?b ?c}", "BASE <http://x> SELECT * WHERE {?a ?b ?c}", "SELECT ?a WHERE {?a ?b}", "SELECT ?a FROM <x> WHERE {?a ?b ?c}", "SELECT ?a WHERE {?a foo:b ?c}", "SELECT ?a WHERE {SERVICE <x> {?a ?b ?c}}"])
+@pytest.mark.parametrize("q", ["ASK {?a ?b ?c}", "BASE <http://x> SELECT * WHERE {?a ?b ?c}", "SELECT ?a WHERE {?a ?b}", "SELECT ?a FROM <x> WHERE {?a ?b ?c}", "SELECT ?a WHERE {?a foo:b ?c}", "SELECT ?a WHERE {SERVICE <x> {?a ?b ?c}}", "SELECT ?a WHERE {?a ?b ?A}"])
 def test_rejected(engine, q):
     with pytest.raises(QueryError):
         engine.execute_hybrid_query(q)

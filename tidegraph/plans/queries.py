@@ -14,7 +14,7 @@ from tidegraph.streaming.available import readings_stream, run_available
 from tidegraph.stottr.mapping import Mapping, MintingOptions, ResolveIRI, ntriples
 from tidegraph.terms import RDF, RDFS, XSD
 
-PREFIXES = {"rdf": RDF, "rdfs": RDFS, "xsd": XSD, "otit": "urn:otit#", "rds": "urn:rds#", "wp": "urn:wp#", "types": "urn:types#", "case": "urn:case#"}
+PREFIXES = {"rdf": RDF, "rdfs": RDFS, "xsd": XSD, "otit": "urn:series#", "rds": "urn:rds#", "wp": "urn:wp#", "types": "urn:types#", "case": "urn:case#"}
 HEAD = "".join(f"PREFIX {p}: <{i}>\n" for p, i in PREFIXES.items())
 
 
@@ -41,7 +41,7 @@ def engine(spark: SparkSession, d: str) -> Engine:
         TimeSeriesTable(XSD + "int", ts, timestamp_column="ts", value_column="v"),
         TimeSeriesTable(XSD + "long", table(spark, d, "ts1")),
     ]
-    return Engine(store, "urn:otit#").set_time_series(TableSource(spark, tables))
+    return Engine(store, "urn:series#").set_time_series(TableSource(spark, tables))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
