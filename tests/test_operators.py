@@ -11,6 +11,7 @@ from tidegraph.operators.regular_grid import regular_grid
 from tidegraph.operators.rolling_totals import rolling_totals
 from tidegraph.operators.skewed_keys import heavy_keys, per_key_stats
 from tidegraph.operators.spikes import HALO, flag_readings, haar_details, noise_scale, spike_mask, stuck_mask
+from tidegraph.plans import problems
 from tidegraph.session import Spool
 
 T0 = datetime(2022, 1, 1)
@@ -118,6 +119,19 @@ def test_grid_over_a_whole_life(spark):
         regular_grid(spark.createDataFrame(rows, "id string, ts timestamp, v int"), "id", "ts", "v", max_gap_s=10**6)
 
 
+def test_series_crosses_midnight_and_sets_reset_clocks_apart(spark, tmp_path):
+    at = [T0 + timedelta(minutes=x) for x in (1400, 1425, 1450, 3000)] + [datetime(1970, 1, 1, 0, 5), datetime(1970, 1, 1, 0, 25)]
+    spark.createDataFrame([("a", t, i) for i, t in enumerate(at)], "id string, ts timestamp, v int").write.parquet(f"{tmp_path}/ts.parquet")
+    got = {r.slot: (r.n, r.filled, r.status) for r in problems.p2_series(spark, str(tmp_path)).collect()}
+    s0 = 1640995200
+    want = {0: (1, 4, "observed"), 600: (0, 4, "carried"), 1200: (1, 5, "observed")}
+    seen = {140: 0, 142: 1, 145: 2, 300: 3}
+    for i in range(140, 301):
+        last = max(k for k in seen if k <= i)
+        want[s0 + 600 * i] = (1, seen[i], "observed") if i in seen else (0, seen[last], "carried") if i - last <= 6 else (0, None, "missing")
+    assert got == want
+
+
 # rolling totals -----------------------------------------------------------------------------------
 
 

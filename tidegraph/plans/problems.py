@@ -10,6 +10,8 @@ from tidegraph.operators.rolling_totals import rolling_totals
 from tidegraph.operators.skewed_keys import heavy_keys, per_key_stats
 from tidegraph.operators.spikes import flag_readings
 
+YEAR_S = 365 * 86_400
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,6 +34,14 @@ def p2_grid(spark: SparkSession, d: str) -> DataFrame:
     return regular_grid(table(spark, d, "ts"), "id", "ts", "v")
 
 
+def p2_series(spark: SparkSession, d: str) -> DataFrame:
+    """Every period from a source's first to its last reading, nights and empty days included; p2_grid keeps the ends of each day.
+
+    A silence of more than a year divides a source's life: clocks reset to 1970 would stretch it to decades.
+    """
+    return regular_grid(table(spark, d, "ts"), "id", "ts", "v", whole_life=True, max_silence_s=YEAR_S)
+
+
 def _turbine_days(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "wtur_avg").distinct()
     return rows.withColumn("calendar_day", F.try_to_date(F.format_string("%04d-%02d-%02d", "year", "month", "day")))
@@ -57,7 +67,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_flags(spark, d).select("dp")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_key_stats, p2_found, p2_grid, p3_found, p3_rolling, p5_found, p5_flags)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_key_stats, p2_found, p2_grid, p2_series, p3_found, p3_rolling, p5_found, p5_flags)}
 
 _BUCKETS = """
 r as (select id, epoch_us(ts) us, v from ts where id is not null and ts is not null and v is not null),
@@ -86,6 +96,17 @@ with {_BUCKETS},
 j as (select g.id, g.seg, g.slot, coalesce(n, 0) n, v_mean, v_min, v_max, v_last from g left join b using (id, seg, slot)),
 f as (select *, last_value(case when n > 0 then slot end ignore nulls) over w seen, last_value(v_last ignore nulls) over w carried
     from j window w as (partition by id, seg order by slot))
+select id, slot, n, v_mean, v_min, v_max, v_last, case when slot - seen <= 3600 then carried end filled,
+    case when n > 0 then 'observed' when slot - seen <= 3600 then 'carried' else 'missing' end status from f""",
+    "p2_series": f"""
+with r as (select id, epoch_us(ts) us, v from ts where id is not null and ts is not null and v is not null),
+b as (select id, us // 600000000 * 600 slot, count(*) n, avg(v) v_mean, min(v) v_min, max(v) v_max, arg_max(v, (us, v)) v_last from r group by all),
+s as (select id, slot, slot - lag(slot) over (partition by id order by slot) > {YEAR_S} begins from b),
+l as (select id, slot, count(*) filter (where begins) over (partition by id order by slot) life from s),
+g as (select id, unnest(generate_series(min(slot), max(slot), 600)) slot from l group by id, life),
+j as (select g.id, g.slot, coalesce(n, 0) n, v_mean, v_min, v_max, v_last from g left join b using (id, slot)),
+f as (select *, last_value(case when n > 0 then slot end ignore nulls) over w seen, last_value(v_last ignore nulls) over w carried
+    from j window w as (partition by id order by slot))
 select id, slot, n, v_mean, v_min, v_max, v_last, case when slot - seen <= 3600 then carried end filled,
     case when n > 0 then 'observed' when slot - seen <= 3600 then 'carried' else 'missing' end status from f""",
     "p3_found": f"""
