@@ -1,6 +1,7 @@
 """Queries on the widget graph with two series, with results worked out by hand."""
 
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 import pytest
 
@@ -140,6 +141,26 @@ def test_coalesce_over_optional_range(engine):
     assert sorted(ask(engine, q), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("bounds", ["?b > ?a && ?b <= ?a + 90", "?a < ?b && ?b - 90 <= ?a", "?b - ?a <= 90 && 0 < ?b - ?a", "!(?b <= ?a) && ?b <= ?a + 90"])
+def test_optional_within_a_span_joins_by_bucket(spark, bounds):
+    rng = random.Random(9)
+    # the times lie on both sides of 1970
+    rows = [(f"ts{k}", datetime(1970, 1, 1) + timedelta(seconds=rng.randrange(-3000, 3000)), rng.randrange(50)) for k in (1, 1, 1, 2) for _ in range(150)]
+    triples = spark.createDataFrame(widget_triples(), "s string, p string, o string, o_kind string, o_dt string, o_lang string")
+    engine = Engine(triples).set_time_series(FrameSource(spark.createDataFrame(rows, "id string, timestamp timestamp, value bigint")))
+    q = f"""SELECT ?s ?v ?a ?b WHERE {{ {READ} BIND(ts:DateTimeAsSeconds(?t) AS ?a) OPTIONAL {{ ?s ts:hasTimeseries ?ts9 . ?ts9 ts:hasDataPoint ?dp2 .
+      ?dp2 ts:hasTimestamp ?t2 ; ts:hasValue ?v2 . BIND(ts:DateTimeAsSeconds(?t2) AS ?b) FILTER({bounds} && ?v2 > ?v) }} }}"""
+    sec = lambda t: int((t - datetime(1970, 1, 1)).total_seconds())
+    want = []
+    for i, t, v in rows:
+        near = [sec(u) for j, u, x in rows if i == j and x > v and 0 < sec(u) - sec(t) <= 90]
+        want += [(f"mySensor{i[2]}", v, sec(t), b) for b in near or [None]]
+    assert sorted(ask(engine, q), key=str) == sorted(want, key=str)
+    plan = engine.execute_hybrid_query(HEAD + q)._jdf.queryExecution().optimizedPlan().toString()
+    # without both bounds as comparisons the sensor alone is the key
+    assert (" div 89)" in next(x for x in plan.splitlines() if "Join LeftOuter" in x)) == ("!" not in bounds)
+
+
 def test_paths(engine):
     edges = "?a (types:hasSensor|ts:hasTimeseries)+ ?b"
     assert sorted(ask(engine, f"SELECT ?a ?b WHERE {{ {edges} }}")) == sorted(x for i in "12" for x in ((f"myWidget{i}", f"mySensor{i}"), (f"myWidget{i}", f"myTimeseries{i}"), (f"mySensor{i}", f"myTimeseries{i}")))

@@ -61,6 +61,25 @@ class Options:
     nulls_last: bool = True
 
 
+def _linear(e: A.Expr) -> tuple[dict[A.Expr, int], int]:
+    """A sum as the number of times each of its terms is added, and the whole constant."""
+    if isinstance(e, A.Op) and e.name in ("+", "-", "neg", "pos"):
+        out, at = {}, 0
+        for i, x in enumerate(e.args):
+            sign = -1 if e.name == "neg" or e.name == "-" and i else 1
+            terms, n = _linear(x)
+            at += sign * n
+            for k, m in terms.items():
+                out[k] = out.get(k, 0) + sign * m
+        return out, at
+    if isinstance(e, A.Const) and isinstance(e.term, Literal) and isinstance(spark_type(e.term.datatype), WHOLE):
+        try:
+            return {}, int(e.term.lexical)
+        except ValueError:
+            pass
+    return {e: 1}, 0
+
+
 class Compiler:
     """Compiles one query. Nothing runs but small lookups in the graph: kinds of objects, and the number and datatype of series."""
 
@@ -308,12 +327,17 @@ class Compiler:
         mark = self.fresh()
         right = right.drop(*extra).withColumnsRenamed(other).withColumn(mark, F.lit(True))
         extra_on: Column | None = None
+        rest = [n for n in right.columns if n not in other.values() and n != mark]
         if cond is not None:
             schema = {f.name: f.dataType for f in (*right.schema, *left.schema)}
             seen = lambda n: F.coalesce(col(n), col(other[n])) if n in shared and n in a.nullable else col(n)
             e = Expressions(lambda n: (seen(n), schema[n]) if n in schema else None, self.store.name, lambda x: self._exists(x, Solutions(left.crossJoin(right))), self.options.functions)
             extra_on = e.flag(cond)
-        rest = [n for n in right.columns if n not in other.values() and n != mark]
+            near = self._near(cond, e, set(left.columns) - (set(shared) & a.nullable), set(rest))
+            if near:
+                bucket = self.fresh()
+                right = right.withColumn(bucket, F.explode(near[1]))
+                extra_on = (near[0] == col(bucket)) & extra_on
         # a variable unbound on the left fits any value: such rows are joined apart from the others, so that each join keeps its equalities
         apart = [n for n in shared if n in a.nullable]
         parts = []
@@ -338,6 +362,34 @@ class Compiler:
             sol = Solutions(sol.df.withColumn(var.name, F.when(col(mark), c)), sol.nullable | {var.name})
         return Solutions(sol.df.drop(mark), sol.nullable)
 
+    def _near(self, cond: A.Expr, e: Expressions, lefts: set[str], rights: set[str]) -> tuple[Column, Column] | None:
+        """Of a condition that bounds the difference of a whole number on the right and one on the left: the bucket of a left row, and both of a right one.
+
+        A bucket is as wide as the bounds are apart, so a left row finds its partners in its own bucket and the next one.
+        """
+        spans: dict[tuple[A.Expr, A.Expr], dict[str, list[int]]] = {}
+        for c in A.conjuncts(cond):
+            if not (isinstance(c, A.Op) and c.name in ("<", "<=", ">", ">=")):
+                continue
+            terms, at = _linear(A.Op("-", c.args))
+            terms = {k: n for k, n in terms.items() if n}
+            if sorted(terms.values()) != [-1, 1]:
+                continue
+            plus, minus = sorted(terms, key=terms.get, reverse=True)
+            name, at = c.name, -at
+            if A.references(plus) <= lefts:
+                plus, minus, name, at = minus, plus, _TURNED[name], -at
+            if A.references(plus) and A.references(plus) <= rights and A.references(minus) and A.references(minus) <= lefts and all(isinstance(e.typed(x)[1], WHOLE) for x in (plus, minus)):
+                spans.setdefault((plus, minus), {}).setdefault(name[0], []).append(at + (name == ">") - (name == "<"))
+        known = [(max(1, min(s["<"]) - max(s[">"])), max(s[">"]), k) for k, s in spans.items() if len(s) == 2]
+        if not known or not all(-(1 << 62) < x < 1 << 62 for k in known for x in k[:2]):
+            return None
+        width, low, (plus, minus) = min(known, key=lambda k: k[0])
+        floor = lambda x: F.call_function("div", x, F.lit(width).cast("bigint")) - (x % width < 0).cast("int")
+        x, y = (e.typed(k)[0].cast("bigint") for k in (plus, minus))
+        least = F.when(y.isNotNull(), F.coalesce(F.try_add(y, F.lit(low).cast("bigint")), F.lit(-(1 << 63)).cast("bigint")))
+        return floor(least), F.array(floor(x), floor(x) - 1)
+
     def _leftjoin(self, node: A.LeftJoin) -> Solutions:
         """OPTIONAL; BIND and FILTER at the top of its right side see the variables of the left one."""
         left = self.compile(node.left)

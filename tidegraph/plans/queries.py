@@ -145,6 +145,10 @@ sparql("optional_correlated", f"SELECT ?s ?v ?greater WHERE {{ {SENSOR} {READ} O
 sparql("optional_range", f"""SELECT ?s ?a ?b WHERE {{ {SENSOR} {READ} BIND({SECONDS} AS ?a) FILTER(?t < "2022-01-01T03:00:00Z"^^xsd:dateTime)
     OPTIONAL {{ ?s otit:hasTimeseries ?ts9 . ?ts9 otit:hasDataPoint ?dp2 . ?dp2 otit:hasTimestamp ?t2 ; otit:hasValue ?v2 . BIND(otit:DateTimeAsSeconds(?t2) AS ?b) FILTER(?b > ?a && ?b <= ?a + 900 && ?v2 > ?v) }} }}""",
     f"{_SR} select a.s, a.us // 1000000 a, b.us // 1000000 b from x a left join x b on a.w = b.w and a.s = b.s and b.us // 1000000 > a.us // 1000000 and b.us // 1000000 <= a.us // 1000000 + 900 and b.v > a.v where a.us < 1641006000000000")
+# every reading of the sensors, where optional_range has those of the first three hours
+sparql("optional_range_all", f"""SELECT ?s ?a ?b WHERE {{ {SENSOR} {READ} BIND({SECONDS} AS ?a)
+    OPTIONAL {{ ?s otit:hasTimeseries ?ts9 . ?ts9 otit:hasDataPoint ?dp2 . ?dp2 otit:hasTimestamp ?t2 ; otit:hasValue ?v2 . BIND(otit:DateTimeAsSeconds(?t2) AS ?b) FILTER(?b > ?a && ?b <= ?a + 900 && ?v2 > ?v) }} }}""",
+    f"{_SR} select a.s, a.us // 1000000 a, b.us // 1000000 b from x a left join x b on a.w = b.w and a.s = b.s and b.us // 1000000 > a.us // 1000000 and b.us // 1000000 <= a.us // 1000000 + 900 and b.v > a.v")
 sparql("minus_anti", "SELECT ?w ?s WHERE { ?w types:hasSensor ?s MINUS { ?w a types:BigWidget } }", f"with {_E} select s w, o s from e where p = 'types:hasSensor' and s not in (select s from e where p = 'rdf:type' and o = 'types:BigWidget')")
 sparql("minus_data_points", f"SELECT ?s ?v WHERE {{ {SENSOR} ?ts otit:hasDataPoint ?dp . ?dp otit:hasValue ?v MINUS {{ ?ts otit:hasDataPoint ?dp . ?dp otit:hasValue ?v FILTER(?v > 300) }} }}", f"{_SR} select s, v from x where v <= 300")
 sparql("exists_semi", f"SELECT ?w ?s WHERE {{ ?w types:hasSensor ?s FILTER EXISTS {{ SELECT ?s WHERE {{ ?s otit:hasTimeseries ?ts . {READ} FILTER(?v > 100000) }} }} }}", f"{_SR} select distinct w, s from x where v > 100000")
