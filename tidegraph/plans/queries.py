@@ -126,6 +126,8 @@ sparql(
 sparql("agg_distinct_avg", "SELECT ?site_label (ROUND(AVG(DISTINCT ?v)) AS ?a) WHERE { " + PRODUCTION + READ + "} GROUP BY ?site_label", f"{_PR} select site_label, floor(avg(distinct v) + 0.5) a from x group by 1")
 sparql("count_distinct_rows", f"SELECT (COUNT(DISTINCT *) AS ?n) WHERE {{ {SENSOR} }}", f"{_SR} select count(distinct (w, s, ts)) n from w")
 sparql("group_concat_ordered", f'SELECT ?w (GROUP_CONCAT(?v; separator="-") AS ?cc) WHERE {{ {SENSOR} {READ} FILTER(?t < "2022-01-01T06:00:00Z"^^xsd:dateTime) }} GROUP BY ?w', f"{_SR} select w, string_agg(v::varchar, '-' order by t, v::varchar) cc from x where us < 1641016800000000 group by w")
+# every reading of the sensors by periods of ten minutes, where group_concat_ordered has those of the first six hours
+sparql("group_concat_periods", f'SELECT ?w ?period (GROUP_CONCAT(?v; separator="-") AS ?cc) WHERE {{ {SENSOR} {READ} BIND(xsd:integer(FLOOR({SECONDS} / 600.0)) AS ?period) }} GROUP BY ?w ?period', f"{_SR} select w, us // 600000000 period, string_agg(v::varchar, '-' order by t, v::varchar) cc from x group by all")
 sparql("sample_value", f"SELECT ?w (SAMPLE(?s) AS ?one) WHERE {{ {SENSOR} }} GROUP BY ?w", f"{_SR} select w, min(s) one from w group by w")
 
 
