@@ -213,6 +213,20 @@ def test_flag_readings(spark, many_partitions, chunk):
     assert len(got) == len(faulty)
 
 
+@pytest.mark.parametrize("lo, hi", [(0, None), (None, 1000)])
+def test_a_null_bound_leaves_the_noise_as_it_is(spark, lo, hi):
+    rng = np.random.default_rng(10)
+    v = np.round(500 + rng.normal(0, 4, 600)).astype(int)
+    v[100:500:2] = 10**6 if lo is None else -(10**6)  # impossible on the side that is bounded
+    v[300:320] = v[0]
+    v[40] += 100
+    df = spark.createDataFrame([(i, "a", T0 + timedelta(seconds=i), int(x)) for i, x in enumerate(v)], "dp long, id string, t timestamp, v long")
+    bounds = spark.createDataFrame([("a", lo, hi)], "id string, lo int, hi int")
+    got = flag_readings(df, bounds, "id", "t", "v", "dp", "lo", "hi").collect()
+    assert {r["row"] for r in got if r.spike} == {40}
+    assert {r["row"] for r in got if r.impossible} == set(np.flatnonzero(abs(v) == 10**6))
+
+
 def test_flag_nothing(spark):
     df = spark.createDataFrame([], "dp long, id string, t timestamp, v long")
     bounds = spark.createDataFrame([], "id string, lo int, hi int")

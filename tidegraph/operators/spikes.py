@@ -122,7 +122,8 @@ def _judge(limit: float, longest: int, least: int):
 def _scales(pdf: pd.DataFrame) -> pd.DataFrame:
     x = pdf.sort_values("pos", kind="stable")
     v = x["v"].to_numpy(float)
-    v = v[(v >= x["lo"].to_numpy(float)) & (v <= x["hi"].to_numpy(float)) | x["lo"].isna().to_numpy()]
+    # a bound that is null is NaN here, to which no comparison holds
+    v = v[~((v < x["lo"].to_numpy(float)) | (v > x["hi"].to_numpy(float)))]
     return pd.DataFrame({"k": [x["k"].iloc[0]], "chunk": [x["chunk"].iloc[0]], "scale": [noise_scale(v)], "n": [len(v)]})
 
 
