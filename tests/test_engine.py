@@ -208,6 +208,26 @@ def test_sources(spark, readings, engine):
     assert [r["n"] for r in Engine(engine.store).set_time_series(history).execute_hybrid_query(q).collect()] == [1215, 1216]
 
 
+@pytest.mark.parametrize(
+    "where, rows",
+    [
+        (f"{READ} {{ SELECT ?w (COUNT(?t) AS ?n) WHERE {{ {READ} }} GROUP BY ?w }}", 12),
+        (f"?w types:hasSensor ?x {{ SELECT ?w ?t ?v WHERE {{ {READ} }} ORDER BY ?t ?w LIMIT 6 }}", 2),
+        (f"{{ SELECT ?w ?t (COUNT(?v) AS ?n) WHERE {{ {READ} }} GROUP BY ?w ?t }}", 12),
+        (f"{{ ?w a ?k MINUS {{ {READ} FILTER(?v < 3) }} }} {READ}", 0),
+        (f"{{ ?w a ?k FILTER NOT EXISTS {{ {READ} FILTER(?v < 3) }} }} {READ}", 0),
+        (f"{{ ?w a ?k OPTIONAL {{ {READ} FILTER(?v < 3) }} }} {{ SELECT ?w ?t WHERE {{ {READ} }} }}", 0),
+    ],
+)
+def test_bounds_prune_no_reading_that_counts(engine, readings, where, rows):
+    history = Engine(engine.store).set_time_series(HistorySource(lambda start, end: readings.where(f"timestamp >= '{start}'") if start else readings))
+    q = f"SELECT * WHERE {{ {where} {AFTER} }}"
+    got = sorted(ask(history, q), key=str)
+    assert got == sorted(ask(engine, q), key=str) and len(got) == rows
+    if "COUNT(?t)" in where:
+        assert {r[-1] for r in got} == {8}
+
+
 def test_stream(spark, readings, engine, tmp_path):
     readings.repartition(3).write.parquet(str(tmp_path / "r"))
     q = HEAD + f"SELECT ?w (SUM(?v) AS ?n) WHERE {{ {READ} {AFTER} }} GROUP BY ?w"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 from functools import reduce
@@ -308,10 +308,20 @@ class Compiler:
         kind = T.LongType() if all(isinstance(t, WHOLE) for t in types) else T.DoubleType() if all(isinstance(t, NUMERIC) for t in types) else T.StringType()
         return reduce(DataFrame.unionByName, (f.withColumn("value", F.col("value").cast(kind)) for f in frames))
 
-    def _inside(self, node: A.Node) -> Solutions:
-        self.inner += 1
+    def _bounded_by(self, names: Iterable[str], node: A.Node) -> Solutions:
+        """Compiles a node below which only the bounds on these variables may keep readings from being scanned."""
+        held = self.bounds
+        self.bounds = {n: held[n] for n in names if n in held}
         try:
             return self.compile(node)
+        finally:
+            self.bounds = held
+
+    def _inside(self, node: A.Node, outer: Solutions) -> Solutions:
+        """The inside of OPTIONAL, MINUS and EXISTS: leaving out a row there may add one outside, unless the outside is bounded itself."""
+        self.inner += 1
+        try:
+            return self._bounded_by(set(outer.names) - outer.nullable, node)
         finally:
             self.inner -= 1
 
@@ -415,10 +425,11 @@ class Compiler:
             holds = F.coalesce(e.flag(cond), F.lit(False)) if cond is not None else F.lit(True)
             made = [F.when(holds, e.typed(by[v.name])[0]).alias(v.name) for v, _ in extends if v.name not in left.names]
             return Solutions(left.df.select("*", *made), left.nullable | {v.name for v, _ in extends})
-        return self._joined(left, self._inside(inner), "left", cond, extends)
+        return self._joined(left, self._inside(inner, left), "left", cond, extends)
 
     def _minus(self, node: A.Minus) -> Solutions:
-        a, b = self.compile(node.left), self._inside(node.right)
+        a = self.compile(node.left)
+        b = self._inside(node.right, a)
         shared = self._shared(a, b)
         if not shared:
             return a
@@ -497,7 +508,7 @@ class Compiler:
         return out
 
     def _group(self, node: A.Group) -> Solutions:
-        of = self.compile(node.of)
+        of = self._bounded_by([k.name for k in node.keys], node.of)
         e = self.expressions(of)
         times = [f.name for f in of.df.schema if isinstance(f.dataType, T.TimestampType)]
         visible = [n for n in of.names if "@" not in n and not n.startswith("__")]
@@ -523,8 +534,8 @@ class Compiler:
         return Solutions(of.df.orderBy(*keys), of.nullable)
 
     def _project(self, node: A.Project) -> Solutions:
-        of = self.compile(node.of)
         names = [v.name for v in node.names]
+        of = self._bounded_by(names, node.of)
         keep = [col(n) if n in of.names else F.lit(None).cast("string").alias(n) for n in dict.fromkeys(names)]
         return Solutions(of.df.select(*keep), (of.nullable & set(names)) | {n for n in names if n not in of.names})
 
@@ -536,7 +547,7 @@ class Compiler:
         return self.compile(node.of)
 
     def _slice(self, node: A.Slice) -> Solutions:
-        of = self.compile(node.of)
+        of = self._bounded_by((), node.of)
         df = of.df.offset(node.offset) if node.offset else of.df
         return Solutions(df if node.limit is None else df.limit(node.limit), of.nullable)
 
@@ -548,7 +559,7 @@ class Compiler:
         while isinstance(inner, A.Filter) and not A.references(inner.cond) <= set(A.variables(inner.of)):
             conds.append(inner.cond)
             inner = inner.of
-        sol = self._inside(inner)
+        sol = self._inside(inner, outer)
         shared = self._shared(outer, sol)
         inside = {n: self.fresh() for n in sol.names}
         schema = {f.name: f.dataType for f in sol.df.schema}
