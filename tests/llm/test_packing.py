@@ -31,6 +31,12 @@ def test_random_sizes(spark, rows_per_sweep):
     assert sum(bins.values()) / (len(bins) * 500) > 0.97
 
 
+def test_small_items_close_small_gaps(spark):
+    sizes = [150, 10] * 50
+    df = spark.createDataFrame(list(enumerate(sizes)), "id long, size long")
+    assert set(check(pack(df, "id", F.col("size"), 160).collect(), sizes, 160).values()) == {160}
+
+
 def test_small_and_odd_cases(spark):
     one = lambda sizes: pack(spark.createDataFrame(list(enumerate(sizes)), "id long, size long"), "id", F.col("size"), 100).collect()
     check(one([51] * 7), [51] * 7, 100)

@@ -45,8 +45,8 @@ def vocabulary_count(df: DataFrame, text: str, vocabulary: str, into: str = "tok
 
 
 def _bundles(capacity: int):
-    """Numbers the items of a partition; those of at most 1/16 of the capacity are joined to items of up to 1/8 of it."""
-    small = capacity // 16
+    """Numbers the items of a partition; those of at most 1/64 of the capacity are joined to items of up to 1/32 of it."""
+    small = capacity // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 36
@@ -155,8 +155,8 @@ def pack(df: DataFrame, row: str, size: Column, capacity: int, rows_per_sweep: i
     size and sorted; a sweep over each partition gives every gap the greatest free item before it, so that no two seek the same, and
     goes on with the rest of the gaps while items of the partition fit; the items and gaps left over are matched across partitions by their ranks, for which the driver sees a few numbers per
     partition; there are as many partitions as give ``rows_per_sweep`` rows to each. Containers matched then have smaller gaps, and the next round begins, until all items
-    are placed. A round whose gaps match less than 1/64 of the free items opens as many containers as the free items need at least. Items of at most 1/16 of
-    the capacity are first joined to bundles of at most 1/8, so a container takes few rounds however small the items are.
+    are placed. A round whose gaps match less than 1/64 of the free items opens as many containers as the free items need at least. Items of at most 1/64 of
+    the capacity are first joined to bundles of at most 1/32, in order of input, so a container holds some 64 of them at most, and takes as many rounds, however small the items are.
     """
     if capacity < 16:
         raise ValueError("a capacity below 16 is not supported")
