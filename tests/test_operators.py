@@ -10,7 +10,8 @@ from tidegraph.operators.ordered import positions
 from tidegraph.operators.regular_grid import regular_grid
 from tidegraph.operators.rolling_totals import rolling_totals
 from tidegraph.operators.skewed_keys import heavy_keys, per_key_stats
-from tidegraph.operators.spikes import HALO, flag_readings, haar_details, noise_scale, spike_mask, stuck_mask
+from tidegraph.operators import spikes
+from tidegraph.operators.spikes import HALO, flag_readings, haar_details, spike_mask, stuck_mask
 from tidegraph.plans import problems
 from tidegraph.session import Spool
 
@@ -122,7 +123,7 @@ def test_grid_over_a_whole_life(spark):
 def test_series_crosses_midnight_and_sets_reset_clocks_apart(spark, tmp_path):
     at = [T0 + timedelta(minutes=x) for x in (1400, 1425, 1450, 3000)] + [datetime(1970, 1, 1, 0, 5), datetime(1970, 1, 1, 0, 25)]
     spark.createDataFrame([("a", t, i) for i, t in enumerate(at)], "id string, ts timestamp, v int").write.parquet(f"{tmp_path}/ts.parquet")
-    got = {r.slot: (r.n, r.filled, r.status) for r in problems.p2_series(spark, str(tmp_path)).collect()}
+    got = {r.slot: (r.n, r.filled, r.status) for r in problems.p2_grid(spark, str(tmp_path)).collect()}
     s0 = 1640995200
     want = {0: (1, 4, "observed"), 600: (0, 4, "carried"), 1200: (1, 5, "observed")}
     seen = {140: 0, 142: 1, 145: 2, 300: 3}
@@ -161,6 +162,15 @@ def test_rolling_totals(spark):
 # spikes -------------------------------------------------------------------------------------------
 
 
+def noise_scale(x):
+    """The noise of a whole series by brute force."""
+    d = np.abs(np.diff(np.asarray(x, float))) / np.sqrt(2)
+    if not (d > 0).any():
+        return 0.0
+    step = d[d > 0].min()
+    return max(np.median(d) / 0.6745, min(np.sqrt(np.mean(np.minimum(d, 4 * step) ** 2)), step))
+
+
 def test_masks():
     rng = np.random.default_rng(5)
     x = np.round(1000 + 50 * np.sin(np.arange(3000) / 200) + rng.normal(0, 5, 3000))
@@ -178,7 +188,21 @@ def test_masks():
     assert haar_details(np.array([0.0, 0, 4, 0, 0]), 1).round(6).tolist() == [0, 0, round(4 / np.sqrt(2), 6), round(-4 / np.sqrt(2), 6), 0]
     for short in ([], [1.0], [1.0, 9.0], [1.0, 1.0, 500.0, 1.0]):
         assert spike_mask(np.array(short), 1.0).sum() == 0
-    assert noise_scale(np.ones(50)) == 0.0
+    x = np.zeros(60)
+    x[[20, 21, 22, 40]] = 90, 80, -70, 50  # spikes of opposite sign side by side
+    x[50:] = 30  # a change that lasts
+    assert np.flatnonzero(spike_mask(x, 1.0)).tolist() == [20, 21, 22, 40]
+
+
+def test_details_decide(monkeypatch):
+    x = np.random.default_rng(8).normal(0, 1, 200)
+    x[90:92] += 30
+    assert np.flatnonzero(spike_mask(x, 1.0)).tolist() == [90, 91]
+    details = spikes._spike_details
+    monkeypatch.setattr(spikes, "_spike_details", lambda y, longest: (details(y, longest)[0] * 0, details(y, longest)[1]))
+    assert not spike_mask(x, 1.0).any()
+    monkeypatch.setattr(spikes, "haar_details", lambda y, level: np.ones(len(y)))
+    assert not stuck_mask(np.ones(50)).any()
 
 
 def spiky_rows():
@@ -227,6 +251,39 @@ def test_a_null_bound_leaves_the_noise_as_it_is(spark, lo, hi):
     assert {r["row"] for r in got if r.impossible} == set(np.flatnonzero(abs(v) == 10**6))
 
 
+@pytest.mark.parametrize("copies", [1, 700])
+def test_flags_across_partition_borders(spark, many_partitions, copies):
+    """Partitions of a few readings, and one reading that is repeated in several partitions, change no verdict."""
+    rng = np.random.default_rng(11)
+    v = np.round(900 + np.cumsum(rng.normal(0, 1, 260)) + rng.normal(0, 3, 260)).astype(int)
+    for at, n in ((30, 1), (77, 3), (131, 2), (200, 2), (215, 1)):
+        v[at : at + n] += 90
+    v[160:175] = v[160]
+    limits = spark.createDataFrame([("a", 0, 5000)], "id string, lo int, hi int")
+    want = set(np.flatnonzero(stuck_mask(v) | spike_mask(v, noise_scale(v))))
+    rows = [(i, "a", T0 + timedelta(seconds=i), int(x)) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows + [rows[131]] * copies, "dp long, id string, t timestamp, v long").repartition(5)
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        got = flag_readings(df, limits, "id", "t", "v", "dp", "lo", "hi", chunk=64).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {30, 77, 78, 79, 131, 132, 200, 201, 215} | set(range(160, 175)) <= want
+    assert {r["row"] for r in got} == want and len(got) == len(want)
+
+
+def test_noise_adds_up_from_blocks(spark, many_partitions):
+    rng = np.random.default_rng(12)
+    series = {"fine": rng.normal(0, 20, 3000), "coarse": np.round(rng.normal(0, 0.3, 900)) * 10, "flat": np.ones(40), "one": np.ones(1)}
+    rows = [(i, k, T0 + timedelta(seconds=i), float(x)) for k, v in series.items() for i, x in enumerate(v)]
+    spool = Spool(spark)
+    flag_readings(spark.createDataFrame(rows, "dp long, id string, t timestamp, v double"), spark.createDataFrame([], "id string, lo int, hi int"), "id", "t", "v", "dp", "lo", "hi", chunk=200, spool=spool)
+    got = {r.k: r.scale for r in spark.read.parquet(f"{spool.root}/1").collect()}
+    assert got.keys() >= {"fine", "coarse", "flat"} and got["flat"] == 0
+    for k in ("fine", "coarse"):
+        assert abs(got[k] - noise_scale(series[k])) <= noise_scale(series[k]) * 2**-7
+
+
 def test_flag_nothing(spark):
     df = spark.createDataFrame([], "dp long, id string, t timestamp, v long")
     bounds = spark.createDataFrame([], "id string, lo int, hi int")

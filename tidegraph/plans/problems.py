@@ -30,12 +30,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return regular_grid(table(spark, d, "ts"), "id", "ts", "v").where("n = 0").select("id", "slot")
 
 
-def p2_grid(spark: SparkSession, d: str) -> DataFrame:
+def p2_days(spark: SparkSession, d: str) -> DataFrame:
+    """The periods from the first to the last reading of each source and UTC day, as p2_found has them."""
     return regular_grid(table(spark, d, "ts"), "id", "ts", "v")
 
 
-def p2_series(spark: SparkSession, d: str) -> DataFrame:
-    """Every period from a source's first to its last reading, nights and empty days included; p2_grid keeps the ends of each day.
+def p2_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Every period from a source's first to its last reading, nights and empty days included.
 
     A silence of more than a year divides a source's life: clocks reset to 1970 would stretch it to decades.
     """
@@ -67,7 +68,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_flags(spark, d).select("dp")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_key_stats, p2_found, p2_grid, p2_series, p3_found, p3_rolling, p5_found, p5_flags)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_key_stats, p2_found, p2_grid, p2_days, p3_found, p3_rolling, p5_found, p5_flags)}
 
 _BUCKETS = """
 r as (select id, epoch_us(ts) us, v from ts where id is not null and ts is not null and v is not null),
@@ -79,7 +80,24 @@ _DAYS = """
 rows as (select distinct * from wtur_avg where site_label is not null and wtur_label is not null),
 daily as (select site_label, wtur_label, make_date(year, month, day) d, count(avg_val) n, coalesce(sum(avg_val), 0) total from rows group by all)"""
 
+# told by running medians, where the operator goes by wavelet details
+_FLAGS = """
+with r as (select dp, id, epoch_us(timestamp) t, min(value) v from ts1 where dp is not null and id is not null and timestamp is not null and value is not null group by all),
+b as (select id, max(phys_min) lo, min(phys_max) hi from sensors group by id),
+o as (select r.*, coalesce(v < lo or v > hi, false) impossible, v - lag(v) over w step, row_number() over w ix from r left join b using (id) window w as (partition by id order by t, dp)),
+i as (select *, ix - row_number() over (partition by id, v order by ix) island from o),
+s as (select *, count(*) over (partition by id, v, island) >= 10 stuck from i),
+d as (select id, median(abs(step)) m, min(abs(step)) filter (where step <> 0) least from o where step is not null group by id),
+n as (select id, greatest(m / 0.6745, least(sqrt(avg(pow(least(abs(step), 4 * d.least), 2))), d.least)) / sqrt(2) scale from o join d using (id) where step is not null group by id, m, d.least),
+l as (select dp, id, t, ix, v, median(v) over (partition by id order by ix rows between 5 preceding and 5 following) mid from s where not impossible),
+u as (select l.*, case when abs(v - mid) > 8 * scale then sign(v - mid) else 0 end off, row_number() over (partition by id order by ix) nr from l join n using (id)),
+g as (select *, nr - row_number() over (partition by id, off order by nr) island from u),
+k as (select dp, id, ix from (select *, count(*) over (partition by id, off, island) size from g) where off <> 0 and size <= 3)
+select dp, impossible, stuck, k.dp is not null spike from s left join k using (dp, id, ix) where impossible or stuck or k.dp is not null"""
+
 SQL = {
+    "p5_flags": _FLAGS,
+    "p5_found": f"select dp from ({_FLAGS})",
     "p1_found": "select id from ts where id is not null group by id having count(*) >= 0.035 * (select count(*) from ts)",
     "p1_key_stats": """
 with o as (select *, epoch_us(ts) us, lag(epoch_us(ts)) over (partition by id order by ts) p from ts),
@@ -91,14 +109,14 @@ s as (select id, count(*) n_rows, count(v) n_values, min(v)::bigint v_min, max(v
 select s.*, first_value::bigint first_value, last_value::bigint last_value, coalesce(change, 0) change
 from s left join e on s.id is not distinct from e.id left join c on s.id is not distinct from c.id""",
     "p2_found": f"with {_BUCKETS} select id, slot from g anti join b using (id, slot)",
-    "p2_grid": f"""
+    "p2_days": f"""
 with {_BUCKETS},
 j as (select g.id, g.seg, g.slot, coalesce(n, 0) n, v_mean, v_min, v_max, v_last from g left join b using (id, seg, slot)),
 f as (select *, last_value(case when n > 0 then slot end ignore nulls) over w seen, last_value(v_last ignore nulls) over w carried
     from j window w as (partition by id, seg order by slot))
 select id, slot, n, v_mean, v_min, v_max, v_last, case when slot - seen <= 3600 then carried end filled,
     case when n > 0 then 'observed' when slot - seen <= 3600 then 'carried' else 'missing' end status from f""",
-    "p2_series": f"""
+    "p2_grid": f"""
 with r as (select id, epoch_us(ts) us, v from ts where id is not null and ts is not null and v is not null),
 b as (select id, us // 600000000 * 600 slot, count(*) n, avg(v) v_mean, min(v) v_min, max(v) v_max, arg_max(v, (us, v)) v_last from r group by all),
 s as (select id, slot, slot - lag(slot) over (partition by id order by slot) > {YEAR_S} begins from b),
