@@ -5,6 +5,7 @@ from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidegraph.operators.ordered import positions
 from tidegraph.operators.regular_grid import regular_grid
@@ -72,6 +73,20 @@ def test_per_key_stats_of_doubles_days_and_nothing(spark):
     assert heavy_keys(df.limit(0), "k", "d", "v", 0.1).collect() == []
 
 
+def test_per_key_stats_of_many_keys(spark, many_partitions):
+    """A long tail of keys with a row or two each, over batches of a few rows, beside one key with a third of all rows."""
+    df = spark.range(60_000).selectExpr("case when id % 3 = 0 then -1 else id div 2 end k", "timestamp_micros(id % 977) o", "(id * 7919) % 101 v")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        got = per_key_stats(df, "k", "o", "v")
+        want = df.groupBy("k").agg(F.count("v").alias("n_rows"), F.min("v").alias("v_min"), F.max("v").alias("v_max"), F.sum("v").alias("v_sum"), F.min("o").alias("first_order"), F.max(F.struct("o", "v")).alias("last"))
+        both = got.join(want.withColumnsRenamed({c: f"w_{c}" for c in want.columns if c != "k"}), "k", "full")
+        same = " and ".join(f"{c} <=> w_{c}" for c in ("n_rows", "v_min", "v_max", "v_sum", "first_order")) + " and last_value <=> w_last.v and last_order <=> w_last.o"
+        assert both.count() == df.select("k").distinct().count() and both.where(f"not ({same})").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_positions(spark, many_partitions):
     rows = [("a" if i % 3 else "b", int(x), i) for i, x in enumerate(np.random.default_rng(2).integers(50, size=2000))]
     df, _ = positions(spark.createDataFrame(rows, "k string, o int, u int").repartition(5), "k", ("o", "u"), Spool(spark))

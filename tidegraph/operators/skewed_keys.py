@@ -40,8 +40,11 @@ def _steps(x: np.ndarray, ok: np.ndarray, run: np.ndarray, runs: int, absolute:
     return most, total
 
 
-def _summaries(batch: pa.RecordBatch, value_type: str) -> list[dict]:
-    """One partial state for each run of equal keys in a sorted batch."""
+_NAMES = [f.split()[0] for f in _STATE.split(", ")]
+
+
+def _summaries(batch: pa.RecordBatch, value_type: str) -> dict[str, pa.Array]:
+    """The columns of one partial state for each run of equal keys in a sorted batch."""
     kind = np.int64 if value_type == "bigint" else np.float64
     k, o, v = (batch.column(i) for i in range(3))
     n = batch.num_rows
@@ -55,22 +58,14 @@ def _summaries(batch: pa.RecordBatch, value_type: str) -> list[dict]:
     both = o_ok & v_ok
     gap, _ = _steps(o, o_ok, run, len(starts), False)
     _, change = _steps(x, both, run, len(starts), True)
-    of = {
-        "n_rows": np.diff(np.append(starts, n)), "n_values": np.add.reduceat(v_ok.astype(np.int64), starts),
-        "v_min": np.minimum.reduceat(np.where(v_ok, x, top), starts), "v_max": np.maximum.reduceat(np.where(v_ok, x, low), starts),
-        "v_sum": np.add.reduceat(np.where(v_ok, x, 0), starts), "max_gap": gap, "change": change,
-        "o0": _ends(o_ok, starts, False), "o1": _ends(o_ok, starts, True), "b0": _ends(both, starts, False), "b1": _ends(both, starts, True),
+    values = np.add.reduceat(v_ok.astype(np.int64), starts)
+    at = lambda a, i: pa.array(a[np.maximum(i, 0)], mask=i < 0)
+    return {
+        "k": k.take(pa.array(starts)), "n_rows": pa.array(np.diff(np.append(starts, n))), "n_values": pa.array(values),
+        "v_min": pa.array(np.minimum.reduceat(np.where(v_ok, x, top), starts), mask=values == 0), "v_max": pa.array(np.maximum.reduceat(np.where(v_ok, x, low), starts), mask=values == 0),
+        "v_sum": pa.array(np.add.reduceat(np.where(v_ok, x, 0), starts)), "max_gap": pa.array(gap, mask=gap < 0), "change": pa.array(change),
+        "first_o": at(o, _ends(o_ok, starts, False)), "last_o": at(o, _ends(o_ok, starts, True)), "first_v": at(x, _ends(both, starts, False)), "last_v": at(x, _ends(both, starts, True)),
     }
-    out = []
-    for i, key in enumerate(k.take(pa.array(starts)).to_pylist()):
-        s = {name: a[i].item() for name, a in of.items()}
-        o0, o1, b0, b1 = (s.pop(name) for name in ("o0", "o1", "b0", "b1"))
-        s |= {"k": key, "first_o": None if o0 < 0 else o[o0].item(), "last_o": None if o1 < 0 else o[o1].item(), "first_v": None if b0 < 0 else x[b0].item(), "last_v": None if b1 < 0 else x[b1].item()}
-        if not s["n_values"]:
-            s |= {"v_min": None, "v_max": None}
-        s["max_gap"] = None if s["max_gap"] < 0 else s["max_gap"]
-        out.append(s)
-    return out
 
 
 def _least(a, b, pick=min):
@@ -90,26 +85,37 @@ def _stitch(a: dict, b: dict) -> dict:
 
 
 def _partial_states(value_type: str):
-    names = [f.split()[0] for f in _STATE.split(", ")]
     v = pa.int64() if value_type == "bigint" else pa.float64()
     kinds = [v if "{v}" in f else pa.int64() for f in _STATE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        held: list[dict] = []
+        held: dict | None = None  # the state of the last run, which may go on in the next batch
+        schema = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            schema = pa.schema([("k", batch.schema.field(0).type), *zip(names[1:], kinds[1:])])
-            states = _summaries(batch, value_type)
-            if held and held[-1]["k"] == states[0]["k"]:
-                states[0] = _stitch(held.pop(), states[0])
-            held += states
-            if len(held) > 10_000:
-                yield pa.RecordBatch.from_pylist([s | {"part": part} for s in held[:-1]], schema=schema)
-                held = held[-1:]
-        if held:
-            yield pa.RecordBatch.from_pylist([s | {"part": part} for s in held], schema=schema)
+            schema = schema or pa.schema([("k", batch.schema.field(0).type), *zip(_NAMES[1:], kinds[1:])])
+            columns = _summaries(batch, value_type)
+            runs = len(columns["k"])
+            columns["part"] = pa.array(np.full(runs, part))
+            states = pa.RecordBatch.from_arrays([columns[f].cast(t) for f, t in zip(_NAMES, schema.types)], schema=schema)
+            first = states.slice(0, 1).to_pylist()[0]
+            if held is not None:
+                if held["k"] == first["k"]:
+                    first = _stitch(held, first) | {"part": part}
+                else:
+                    yield pa.RecordBatch.from_pylist([held], schema=schema)
+            if runs > 1:
+                # of a batch only the ends are looked at one by one
+                yield pa.RecordBatch.from_pylist([first], schema=schema)
+                if runs > 2:
+                    yield states.slice(1, runs - 2)
+                held = states.slice(runs - 1).to_pylist()[0]
+            else:
+                held = first
+        if held is not None:
+            yield pa.RecordBatch.from_pylist([held], schema=schema)
 
     return run
 
