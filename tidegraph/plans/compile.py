@@ -80,6 +80,23 @@ def _linear(e: A.Expr) -> tuple[dict[A.Expr, int], int]:
     return {e: 1}, 0
 
 
+def _subsets(names: Sequence[str]) -> list[set[str] | None]:
+    """All sets of the variables that may be unbound together; None, for no division by them, if they are more than three."""
+    return [set(c) for k in range(len(names) + 1) for c in combinations(names, k)] if len(names) <= 3 else [None]
+
+
+def _where_unbound(df: DataFrame, names: Sequence[str], unbound: set[str] | None) -> DataFrame:
+    """The rows in which of these columns exactly the unbound are null; all rows for None."""
+    for n in names if unbound is not None else ():
+        df = df.where(col(n).isNull() if n in unbound else col(n).isNotNull())
+    return df
+
+
+def _has_exists(e: object) -> bool:
+    parts = [*(getattr(e, "args", None) or ()), *([e.of, *e.among] if isinstance(e, A.In) else ())]
+    return isinstance(e, A.Exists) or any(map(_has_exists, parts))
+
+
 class Compiler:
     """Compiles one query. Nothing runs but small lookups in the graph: kinds of objects, and the number and datatype of series."""
 
@@ -199,20 +216,40 @@ class Compiler:
             static += [] if named else [A.Triple(s, Iri(voc + "hasExternalId"), Var(ids[s]))]
             ids[s] = named.name if named else ids[s]
             static.append(A.Triple(s, Iri(voc + "hasDatatype"), Var(ids[s] + "_dt")))
+        sols = [self._part(*p, points, {k: ids.get(v) for k, v in owner.items()}) for p in self._components(static, points, owner)]
+        sol = sols.pop(0) if sols else Solutions(self.spark.range(1).select())
+        while sols:
+            # parts that only readings connect are joined on what they share, such as a timestamp, once each has its readings
+            near = next((x for x in sols if set(x.names) & set(sol.names)), sols[0])
+            sols.remove(near)
+            sol = self._joined(sol, near, "inner", None)
+        return sol
+
+    def _components(self, static: list[A.Triple], points: dict[object, dict], owner: dict[object, object]) -> list[tuple[list[A.Triple], list[object]]]:
+        """The parts of a basic pattern that no variable of the graph connects, each with its data points."""
+        groups: list[tuple[set, list[A.Triple], list[object]]] = []
+        terms = lambda t: {x for x in (t.s, t.p, t.o) if isinstance(x, Var)} | {x for x in (t.s,) if x in owner.values()}
+        for own, triples, dps in [*((terms(t), [t], []) for t in static), *(({owner[d]} if d in owner else {d}, [], [d]) for d in points)]:
+            met = [g for g in groups if g[0] & own]
+            groups = [g for g in groups if not g[0] & own]
+            groups.append((own.union(*(g[0] for g in met)), [t for g in met for t in g[1]] + triples, [d for g in met for d in g[2]] + dps))
+        return [g[1:] for g in groups]
+
+    def _part(self, static: list[A.Triple], dps: list[object], points: dict[object, dict], ids: dict[object, str]) -> Solutions:
+        """One connected part of a basic pattern: the graph's solutions, joined with the readings of its data points."""
         sol = self._static(static)
+        names = list(dict.fromkeys(ids[d] for d in dps if d in ids))
         found: dict[str, Found] = {}
-        if ids:
+        if names:
             # written once: it is counted, tells the series' ids and datatypes, and is joined
             base, _ = self.spool.write(sol.df)
             sol = Solutions(base, sol.nullable)
-            found = self._found(base, list(ids.values()))
-        for dp, parts in points.items():
-            sol = self._points(sol, dp, parts, found.get(ids.get(owner.get(dp))))
+            found = self._found(base, names)
+        for dp in dps:
+            sol = self._points(sol, dp, points[dp], found.get(ids.get(dp)))
             found = {k: replace(f, first=False) for k, f in found.items()}
-        if ids:
-            own = {n for i in ids.values() for n in (i, i + "_dt") if n.startswith("__c")}
-            sol = Solutions(sol.df.drop(*own), sol.nullable)
-        return sol
+        own = {n for i in names for n in (i, i + "_dt") if n.startswith("__c")}
+        return Solutions(sol.df.drop(*own), sol.nullable) if own else sol
 
     def _found(self, base: DataFrame, names: list[str]) -> dict[str, Found]:
         """How many rows the graph's solutions have, and of each series variable how many ids and which datatypes."""
@@ -266,7 +303,7 @@ class Compiler:
             frame = self.series.scan(found.least, bounds)
         elif self.inner:
             # the rows outside decide which of the series matter, so each datatype is read from its own table
-            frame = self._all_types([r["d"] for r in found.known.select("d").distinct().orderBy("d").limit(17).collect()], bounds)
+            frame = self._all_types([r["d"] for r in found.known.select("d").distinct().orderBy("d").collect()], bounds)
         else:
             raise InconsistentDatatype(f"the series of {dp} are of datatypes {found.least} and {found.most}")
         if found and found.few is not None:
@@ -301,8 +338,6 @@ class Compiler:
         return Solutions(frame.join(left, on), sol.nullable)
 
     def _all_types(self, datatypes: list[str], bounds: Sequence[Bound]) -> DataFrame:
-        if len(datatypes) > 16:
-            raise InconsistentDatatype("a pattern has series of more than 16 datatypes")
         frames = [self.series.scan(d, bounds).withColumn("datatype", F.lit(d)) for d in datatypes]
         types = [f.schema["value"].dataType for f in frames]
         kind = T.LongType() if all(isinstance(t, WHOLE) for t in types) else T.DoubleType() if all(isinstance(t, NUMERIC) for t in types) else T.StringType()
@@ -348,23 +383,30 @@ class Compiler:
                 bucket = self.fresh()
                 right = right.withColumn(bucket, F.explode(near[1]))
                 extra_on = (near[0] == col(bucket)) & extra_on
-        # a variable unbound on the left fits any value: such rows are joined apart from the others, so that each join keeps its equalities
-        apart = [n for n in shared if n in a.nullable]
+        # a variable unbound on one side fits any value: such rows are joined apart from the others, so that each join keeps its equalities
+        apart, unsure = [n for n in shared if n in a.nullable], [n for n in shared if n in b.nullable]
+        out = [F.coalesce(col(n), col(other[n])).alias(n) if n in apart else col(n) for n in left.columns]
+        kinds = right.schema
         parts = []
-        for unbound in ([set(c) for k in range(len(apart) + 1) for c in combinations(apart, k)] if len(apart) <= 2 else [None]):
-            rows, on = left, F.lit(True) if extra_on is None else extra_on
-            for n in shared:
-                same = col(n) == col(other[n])
-                if unbound is not None and n in apart:
-                    rows = rows.where(col(n).isNull() if n in unbound else col(n).isNotNull())
-                    if n in unbound:
+        for unbound in _subsets(apart):
+            rows = _where_unbound(left, apart, unbound)
+            pieces = []
+            for missing in _subsets(unsure):
+                on = F.lit(True) if extra_on is None else extra_on
+                for n in shared:
+                    if n in (unbound or ()) or n in (missing or ()):
                         continue
-                elif n in apart:
-                    same = same | col(n).isNull()
-                on = on & (same | col(other[n]).isNull() if n in b.nullable else same)
-            joined = rows.join(right, on, how) if shared or cond is not None or how == "left" else rows.crossJoin(right)
-            out = [F.coalesce(col(n), col(other[n])).alias(n) if n in apart else col(n) for n in left.columns]
-            parts.append(joined.select(*out, *map(col, rest), col(mark)))
+                    same = col(n) == col(other[n])
+                    same = same | col(n).isNull() if unbound is None and n in apart else same
+                    on = on & (same | col(other[n]).isNull() if missing is None and n in unsure else same)
+                pieces.append((_where_unbound(right, [other[n] for n in unsure], missing and {other[n] for n in missing}), on))
+            inner = how == "inner" or len(pieces) > 1
+            for piece, on in pieces:
+                joined = rows.join(piece, on, "inner" if inner else "left") if shared or cond is not None or not inner else rows.crossJoin(piece)
+                parts.append(joined.select(*out, *map(col, rest), col(mark)))
+            if how == "left" and inner:
+                alone = reduce(lambda d, p: d.join(p[0], p[1], "left_anti"), pieces, rows)
+                parts.append(alone.select(*left.columns, *(F.lit(None).cast(kinds[n].dataType).alias(n) for n in (*rest, mark))))
         nullable = (a.nullable - set(shared)) | {n for n in apart if n in b.nullable or how == "left"} | (b.nullable - set(shared)) | (set(rest) if how == "left" else set())
         sol = Solutions(reduce(DataFrame.unionByName, parts), nullable)
         for var, e in extends:
@@ -429,21 +471,54 @@ class Compiler:
 
     def _minus(self, node: A.Minus) -> Solutions:
         a = self.compile(node.left)
+        within = self._within(node.left, node.right)
+        if within is not None:
+            return Solutions(a.df.where(~F.coalesce(self.expressions(a).flag(within), F.lit(False))), a.nullable)
         b = self._inside(node.right, a)
         shared = self._shared(a, b)
         if not shared:
             return a
         left, right = self._align(a, b, shared)
         right = right.select(*shared).distinct()
-        if not (set(shared) & (a.nullable | b.nullable)):
+        maybe = [n for n in shared if n in a.nullable | b.nullable]
+        if not maybe:
             return Solutions(left.join(right, shared, "left_anti"), a.nullable)
+        sure = [n for n in shared if n not in maybe]
         other = {n: self.fresh() for n in shared}
         right = right.withColumnsRenamed(other)
-        on, some = F.lit(True), F.lit(False)
-        for n in shared:
-            l, r = col(n), col(other[n])
-            on, some = on & ((l == r) | l.isNull() | r.isNull()), some | (l == r)
-        return Solutions(left.join(right, on & some, "left_anti"), a.nullable)
+        # rows are told apart by what is bound on either side; each kind is held against each by equality of what both have
+        parts = []
+        for unbound in _subsets([n for n in maybe if n in a.nullable]):
+            rows = _where_unbound(left, [n for n in maybe if n in a.nullable], unbound)
+            for missing in _subsets([n for n in maybe if n in b.nullable]):
+                piece = _where_unbound(right, [other[n] for n in maybe if n in b.nullable], missing and {other[n] for n in missing})
+                if unbound is None or missing is None:
+                    on, some = F.lit(True), F.lit(bool(sure))
+                    for n in shared:
+                        l, r = col(n), col(other[n])
+                        on, some = on & (l == r if n in sure else (l == r) | l.isNull() | r.isNull()), some | F.coalesce(l == r, F.lit(False))
+                    rows = rows.join(piece, on & some, "left_anti")
+                    continue
+                both = [n for n in shared if n not in unbound | missing]
+                if both:
+                    rows = rows.join(piece.select(*(other[n] for n in both)).distinct(), reduce(lambda x, y: x & y, (col(n) == col(other[n]) for n in both)), "left_anti")
+            parts.append(rows)
+        return Solutions(reduce(DataFrame.unionByName, parts), a.nullable)
+
+    def _within(self, left: A.Node, right: A.Node) -> A.Expr | None:
+        """The condition that a row of the left must not meet where MINUS repeats some of the left's own triples under it: no join is needed then."""
+        conds = []
+        while isinstance(right, A.Filter):
+            conds.append(right.cond)
+            right = right.of
+        while isinstance(left, (A.Filter, A.Extend)):
+            left = left.of
+        if not (conds and isinstance(left, A.Bgp) and isinstance(right, A.Bgp) and right.triples and set(right.triples) <= set(left.triples)):
+            return None
+        cond = reduce(lambda x, y: A.Op("&&", (x, y)), conds)
+        names = {n for t in right.triples for n in A.variables(A.Bgp([t]))}
+        plain = all(isinstance(t.p, Iri) for t in right.triples) and not _has_exists(cond)
+        return cond if names and plain and A.references(cond) <= names else None
 
     def _union(self, node: A.Union) -> Solutions:
         a, b = self.compile(node.left), self.compile(node.right)
@@ -530,7 +605,7 @@ class Compiler:
         for expr, down in node.keys:
             c = e.typed(expr)[0]
             last = self.options.nulls_last
-            keys.append((c.desc_nulls_last() if last else c.desc_nulls_last()) if down else (c.asc_nulls_last() if last else c.asc_nulls_first()))
+            keys.append(c.desc_nulls_last() if down else c.asc_nulls_last() if last else c.asc_nulls_first())
         return Solutions(of.df.orderBy(*keys), of.nullable)
 
     def _project(self, node: A.Project) -> Solutions:
@@ -566,19 +641,26 @@ class Compiler:
         outer_schema = {f.name: f.dataType for f in outer.df.schema}
         # the alias keeps names of the outside from being looked up below it
         df = sol.df.withColumnsRenamed(inside).alias(self.fresh())
-        for n in shared:
-            a, b = col(inside[n]), col(n).outer()
-            if schema[n] != outer_schema[n] and (isinstance(schema[n], T.StringType) or isinstance(outer_schema[n], T.StringType)):
-                a, b = a.cast("string"), b.cast("string")
-            same = a == b
-            if n in sol.nullable:
-                same = same | a.isNull()
-            if n in outer.nullable:
-                same = same | b.isNull()
-            df = df.where(same)
-        if conds:
-            column = lambda n: (col(inside[n]), schema[n]) if n in schema else (col(n).outer(), outer_schema[n]) if n in outer_schema else None
-            ex = Expressions(column, self.store.name, lambda x: self._exists(x, sol), self.options.functions)
-            for c in conds:
-                df = df.where(ex.flag(c))
-        return df.exists()
+        column = lambda n: (col(inside[n]), schema[n]) if n in schema else (col(n).outer(), outer_schema[n]) if n in outer_schema else None
+        ex = Expressions(column, self.store.name, lambda x: self._exists(x, sol), self.options.functions)
+        apart, unsure = [n for n in shared if n in outer.nullable], [n for n in shared if n in sol.nullable]
+        tests: list[Column] = []
+        for unbound in _subsets(apart):
+            for missing in _subsets(unsure):
+                part = _where_unbound(df, [inside[n] for n in unsure], missing and {inside[n] for n in missing})
+                for n in shared:
+                    if n in (unbound or ()) or n in (missing or ()):
+                        continue
+                    a, b = col(inside[n]), col(n).outer()
+                    if schema[n] != outer_schema[n] and (isinstance(schema[n], T.StringType) or isinstance(outer_schema[n], T.StringType)):
+                        a, b = a.cast("string"), b.cast("string")
+                    same = a == b
+                    same = same | a.isNull() if missing is None and n in unsure else same
+                    part = part.where(same | b.isNull() if unbound is None and n in apart else same)
+                for c in conds:
+                    part = part.where(ex.flag(c))
+                here = part.exists()
+                for n in apart if unbound is not None else ():
+                    here = (col(n).isNull() if n in unbound else col(n).isNotNull()) & here
+                tests.append(here)
+        return reduce(lambda x, y: x | y, tests)

@@ -54,12 +54,14 @@ def col(name: str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of this machine only where the cluster names none."""
+    """The cluster's checkpoint folder. Where none is named, a folder of this machine, but only if the session runs on it alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = held.get() if held.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tidegraph-")
         spark.sparkContext.setCheckpointDir(named)
         atexit.register(_delete, spark, named)

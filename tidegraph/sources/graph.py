@@ -24,8 +24,8 @@ class TripleStore:
     with a null s, p or o are no triples. A literal has o_kind 'literal', all others are names.
 
     distinct: a graph is a set, so repeated triples count once. They are removed once, before the first query, by writing the
-    triples to the shared folder by predicate, where a pattern then reads its predicate alone (not by predicate if there
-    are over MOST_PREDICATES). False takes the table as it is, where it is known to have no repeats.
+    triples to the shared folder by predicate, where a pattern then reads its predicate alone (if there
+    are over MOST_PREDICATES, in files sorted by predicate, of which it skips what its statistics rule out). They are written by ranges of (p, s, o), so a predicate with most of the triples is many tasks and a rare one is one file. False takes the table as it is, where it is known to have no repeats.
     """
 
     def __init__(self, triples: DataFrame, prefixes: dict[str, str] | None = None, distinct: bool = True) -> None:
@@ -44,8 +44,8 @@ class TripleStore:
         if self._written is None:
             spool = Spool(self.spark)
             few = self._rows_given.select("p").distinct().limit(MOST_PREDICATES + 1).count() <= MOST_PREDICATES
-            rows = self._rows_given.distinct()
-            self._written = spool.write(rows.repartition("p", F.pmod(F.hash("s"), F.lit(8))), by=["p"])[0] if few else spool.write(rows)[0]
+            rows = self._rows_given.distinct().repartitionByRange("p", "s", "o").sortWithinPartitions("p", "s")
+            self._written = spool.write(rows, by=["p"] if few else None)[0]
         return self._written
 
     def name(self, iri: str) -> str:
@@ -56,11 +56,11 @@ class TripleStore:
         return iri
 
     def learn(self, predicates: set[str]) -> None:
-        """Looks up the kinds of object that these predicates have, a few rows for each, in one job for all that are new."""
+        """Looks up the kinds of object that these predicates have, a row for each datatype, in one job for all that are new."""
         new = {self.name(p) for p in predicates} - self._kinds.keys()
         if new:
             self._kinds |= {p: [] for p in new}
-            for r in self.triples.where(F.col("p").isin(sorted(new))).groupBy("p").agg(F.slice(F.array_sort(F.collect_set(F.struct("o_kind", F.coalesce("o_dt", F.lit(""))))), 1, 9).alias("kinds")).collect():
+            for r in self.triples.where(F.col("p").isin(sorted(new))).groupBy("p").agg(F.collect_set(F.struct("o_kind", F.coalesce("o_dt", F.lit("")))).alias("kinds")).collect():
                 self._kinds[r["p"]] = [(k[0], k[1] or None) for k in r["kinds"]]
 
     def object_type(self, predicate: object) -> T.DataType:

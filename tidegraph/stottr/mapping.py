@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,7 +65,7 @@ class ResolvingError(MappingError):
 
 @dataclass(frozen=True)
 class MintingOptions:
-    """IRIs prefix + n, n counting from start in order of Key; a list of them per row if a length or a column of the same length is given."""
+    """IRIs prefix + n, n counting from start in order of Key (rows of a DataFrame have no order of their own); a list of them per row if a length or a column of the same length is given."""
 
     prefix: str
     start: int = 0
@@ -347,15 +347,15 @@ class Mapping:
                 first = F.lit(m.start) + F.col("__pos") * m.list_length
                 placed = placed.withColumn(name, F.transform(F.sequence(first, first + m.list_length - 1), numbered))
             else:
-                # running sums by blocks of keys: within blocks by a window, over blocks by one row each
-                block = F.floor(F.col("__pos") / 4096)
-                sized = placed.select("__pos", block.alias("b"), F.size(col(m.same_length_as)).alias("n"))
-                before = sized.groupBy("b").agg(F.sum("n").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("b", "ahead")
-                within = F.coalesce(F.sum("n").over(Window.partitionBy("b").orderBy("__pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-                first = sized.withColumn("within", within).join(before, "b").select("__pos", (F.col("within") + F.col("ahead") + m.start).alias("__first"))
-                n = F.size(col(m.same_length_as))
+                # a row's first number is the sum of the lengths before it, by the same order of keys
+                n = F.greatest(F.size(col(m.same_length_as)), F.lit(0)).cast("bigint")
+                names = placed.columns
+                given = placed.toDF(*(f"c{i}" for i in range(len(names)))).withColumns({"one": F.lit(1), "n": F.greatest(F.coalesce(F.size(f"c{names.index(m.same_length_as)}"), F.lit(0)), F.lit(0)).cast("bigint")})
+                summed, _ = positions(given, "one", (f"c{names.index('__pos')}",), self.spool, "n")
+                placed = summed.drop("one", "n").toDF(*names, "__before")
+                first = F.col("__before") + m.start
                 empty = F.array().cast("array<string>")
-                placed = placed.join(first, "__pos").withColumn(name, F.when(n > 0, F.transform(F.sequence(F.col("__first"), F.col("__first") + n - 1), numbered)).otherwise(empty)).drop("__first")
+                placed = placed.withColumn(name, F.when(n > 0, F.transform(F.sequence(first, first + n - 1), numbered)).otherwise(empty)).drop("__before")
         placed = placed.drop("__pos")
         own = placed.select(KEY, *mint)
         self.minted[t.iri] = own if t.iri not in self.minted else self.minted[t.iri].unionByName(own, allowMissingColumns=True)

@@ -8,13 +8,19 @@ from pyspark.sql import types as T
 from tidegraph.session import Spool
 
 
+def _exactly(path: str) -> str:
+    """A pattern that fits this path alone; a source of files takes a single file by a pattern only."""
+    head, _, name = path.rstrip("/").rpartition("/")
+    safe = "".join("\\" + c if c in "\\*?[]{}" else c for c in name)
+    return f"{head}/{safe[:-1]}[{safe[-1]}]" if name and name[-1] not in "\\*?[]{}^!-" else path
+
+
 def readings_stream(spark: SparkSession, path: str, schema: T.StructType, watermark: tuple[str, str] | None = None, files_per_trigger: int | None = None) -> DataFrame:
-    """A stream of the parquet files under a path; watermark is a column of time and how late its rows may come."""
+    """A stream of a parquet file, or of the parquet files in a folder; watermark is a column of time and how late its rows may come."""
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    # the pattern lets path be a single file as well
-    rows = reader.parquet(path + "*")
+    rows = reader.parquet(_exactly(path))
     return rows.withWatermark(*watermark) if watermark else rows
 
 
