@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidegraph.llm.leakage import DRIFT, Q, aligned_words, build_index, grams, leaked_items, stream, words_of
+from tidegraph.llm.leakage import DRIFT, Q, _find, aligned_words, build_index, grams, leaked_items, stream, words_of
 
 RNG = np.random.default_rng(10)
 VOCABULARY = ["".join(RNG.choice(list("bdfgklmnprst"), 1)[0] + RNG.choice(list("aeiou"), 1)[0] for _ in range(int(n))) for n in RNG.integers(1, 5, 900)]
@@ -83,15 +83,60 @@ def test_alignment_by_brute_force():
 
 
 def test_index():
-    index = build_index([(5, "one two three four"), (6, "two three four five"), (7, "")])
-    assert index.ids.tolist() == [5, 6, 7] and (np.diff(index.keys.astype(object)) > 0).all()
+    index = build_index([(5, "one two three four"), (6, "two three four five"), (7, ""), (8, "One, two: three four")])
+    assert index.ids == [[5, 8], [6], [7]] and (np.diff(index.keys.astype(object)) > 0).all()
     assert index.first[-1] == len(index.item) == len(index.place)
     assert build_index([(1, "")]).least_cover.tolist() == [0]
 
 
-@pytest.mark.parametrize("share, n", [(0.5, 1), (0.95, 0)])
+EDITS = {
+    "deleted": lambda w: [x for k, x in enumerate(w) if k % 10 != 5],
+    "inserted": lambda w: [y for k, x in enumerate(w) for y in ([x, "foreign"] if k % 10 == 5 else [x])],
+    "replaced": lambda w: ["changed" if k % 10 == 5 else x for k, x in enumerate(w)],
+    "part": lambda w: [x for k, x in enumerate(w[len(w) // 5 : len(w) // 5 + len(w) * 62 // 100]) if k % 12 != 5],
+}
+
+
+@pytest.mark.parametrize("edit", EDITS)
+@pytest.mark.parametrize("n", [12, 60, 400, 800, 1600, 3000])
+def test_recall_of_edited_items(edit, n):
+    """The edit budget grows with the item, and with it bands and alignments: every tenth word changed loses none."""
+    own = {i: text(n) for i in range(6)}
+    index = build_index([(i, " ".join(w)) for i, w in own.items()])
+    docs = [" ".join([*text(200), *EDITS[edit](w), *text(200)]) for w in own.values()]
+    found = {(d, i) for d, k in zip(*_find(docs, index)) for i in index.ids[k]}
+    assert found == {(i, i) for i in own}
+    if n > 12:
+        assert _find([" ".join([*text(50), *w[: n * 2 // 5], *text(50)]) for w in own.values()], index) == ([], [])
+
+
+def test_a_sentence_that_many_items_share():
+    own = {i: INTRO * 2 + text(30) for i in range(1500)}
+    docs = [" ".join([*text(40), *INTRO * 2, *text(40)]), " ".join([*text(40), *own[7], *text(40), *own[8]])]
+    for most in (4_000_000, 5_000):  # also in many slices of one document
+        index = build_index([(i, " ".join(w)) for i, w in own.items()], 0.6)
+        assert sorted(zip(*_find(docs, index, most))) == [(1, 7), (1, 8)]
+    # items that consist of shared grams alone are still found
+    base = text(40)
+    index = build_index([(i, " ".join([*base[:20], f"only{i}", *base[20:]])) for i in range(300)])
+    assert len(_find([" ".join(base)], index, 3_000)[0]) == 300
+
+
+def test_repeated_numbers_and_texts(spark):
+    w, x = text(40), text(50)
+    docs = spark.createDataFrame([(1, " ".join(w + x)), (1, " ".join(w + x)), (2, "nothing"), (3, None)], "row long, text string")
+    items = spark.createDataFrame([(4, " ".join(w)), (4, " ".join(x)), (5, " ".join(w).upper()), (5, " ".join(w).upper()), (None, " ".join(w)), (6, None), (7, "")], "item long, text string")
+    for chars in (4_000_000, 150):  # one block and several
+        got = leaked_items(docs, "row", "text", items, "item", "text", block_chars=chars)
+        assert sorted(map(tuple, got.collect())) == [(1, 4), (1, 4), (1, 5), (1, 5)]
+    assert leaked_items(docs.limit(0), "row", "text", items, "item", "text").collect() == []
+
+
+@pytest.mark.parametrize("share, n", [(0.2, 1), (0.5, 1), (0.95, 0)])
 def test_share(spark, share, n):
     own = ITEMS[1]
     df = spark.createDataFrame([(1, " ".join(own[: len(own) * 3 // 4]))], "d long, t string")
     items = spark.createDataFrame([(1, " ".join(own))], "i long, t string")
     assert leaked_items(df, "d", "t", items, "i", "t", share=share).count() == n
+    few = spark.createDataFrame([(1, " ".join([*text(80), *own[20 : 20 + -(-len(own) // 5)], *text(80)]))], "d long, t string")
+    assert leaked_items(few, "d", "t", items, "i", "t", share=share).count() == (share == 0.2)
