@@ -17,7 +17,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.lookalike import invisible_ranges, ligatures, single_forms
+from tidegraph.llm.lookalike import LETTERS, invisible_ranges, letters_alike, ligatures, single_forms
 from tidegraph.session import Spool, col
 
 Q = 8  # letters of a gram; grams go over letters and digits only
@@ -31,11 +31,11 @@ _TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>|<!--.*?-->", re.S)
 
 
 @cache
-def folding_table() -> np.ndarray:
+def folding_table(alike: str = LETTERS) -> np.ndarray:
     """For each code point what it counts as: a folded letter or digit, DROP, or BREAK."""
-    forms = single_forms()
+    forms = single_forms(alike)
     table = np.arange(0x110000, dtype=np.uint32)
-    for code in range(0x10000):
+    for code in range(0x20000):
         c = chr(code)
         c = unicodedata.normalize("NFKD", forms.get(c, c))[:1] or c
         c = forms.get(c, c).lower()[:1]
@@ -66,9 +66,9 @@ def plain_text(text: str) -> str:
     return text
 
 
-def stream(text: str) -> tuple[np.ndarray, np.ndarray]:
+def stream(text: str, alike: str = LETTERS) -> tuple[np.ndarray, np.ndarray]:
     """The text's folded letters and digits in a row, and the places in it where words begin."""
-    folded = folding_table()[np.frombuffer(plain_text(text).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    folded = folding_table(alike)[np.frombuffer(plain_text(text).encode("utf-32-le", "surrogatepass"), np.uint32)]
     folded = folded[folded != DROP]
     letter = folded != BREAK
     begins = letter.copy()
@@ -110,6 +110,7 @@ class Index:
     band: np.ndarray  # letters from one diagonal band to the next; a band is twice as wide
     least_cover: np.ndarray  # letters that a passage's grams must cover at least
     present: np.ndarray  # by the low bits of a gram
+    alike: str  # letters that are folded to those they look like
 
     @property
     def drift(self) -> np.ndarray:
@@ -117,7 +118,7 @@ class Index:
         return DRIFT + 2 * self.edits
 
 
-def build_index(items: list[tuple[int, str]], share: float = 0.5, most_items: int = MOST_ITEMS) -> Index:
+def build_index(items: list[tuple[int, str]], share: float = 0.5, most_items: int = MOST_ITEMS, alike: str = LETTERS) -> Index:
     """The index of (number, text).
 
     A gram of more than ``most_items`` entries, such as those of a sentence that many items open with, would be found for all of
@@ -128,7 +129,7 @@ def build_index(items: list[tuple[int, str]], share: float = 0.5, most_items: in
     number: dict[bytes, int] = {}
     entry: dict[tuple[bytes, bytes], int] = {}
     for item, text in items:
-        letters, begins = stream(text)
+        letters, begins = stream(text, alike)
         at = entry.setdefault((letters.tobytes(), begins.tobytes()), len(entry))
         if at < len(ids):
             ids[at] = sorted({*ids[at], item})
@@ -164,7 +165,7 @@ def build_index(items: list[tuple[int, str]], share: float = 0.5, most_items: in
         keys, first = np.unique(flat[order], return_index=True)
     present = np.zeros(1 << 22, bool)
     present[(keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-    return Index(ids, words, number, keys.astype(np.uint64), np.append(first, len(order)), owner[order], place[order], word_at, np.array(need), np.array(edits), np.array(band), least, present)
+    return Index(ids, words, number, keys.astype(np.uint64), np.append(first, len(order)), owner[order], place[order], word_at, np.array(need), np.array(edits), np.array(band), least, present, alike)
 
 
 def _least_cover(lengths: np.ndarray, need: int, edits: int) -> int:
@@ -265,7 +266,7 @@ def _met(index: Index, at: np.ndarray, where: np.ndarray, doc: np.ndarray, most:
 
 def _find(texts: list[str], index: Index, most: int = 4_000_000) -> tuple[list[int], list[int]]:
     """(number of text, entry) of the passages in texts."""
-    streams = [stream(t) for t in texts]
+    streams = [stream(t, index.alike) for t in texts]
     sizes = np.array([len(s[0]) for s in streams])
     offsets = np.concatenate([[0], np.cumsum(sizes + Q)])
     flat = np.full(offsets[-1], BREAK, np.uint32)  # Q breaks between texts: no gram spans two
@@ -342,15 +343,15 @@ def _verified(index: Index, streams: list, stops: list, pair: np.ndarray, place:
 
 
 @lru_cache(maxsize=1)
-def _index_of(file: str, share: float) -> Index:
+def _index_of(file: str, share: float, alike: str) -> Index:
     """The index of a block of items, built once in a worker from the file that Spark brought to the executor."""
     held = pq.read_table(SparkFiles.get(file), columns=["item", "text"])
-    return build_index(list(zip(held["item"].to_pylist(), held["text"].to_pylist())), share)
+    return build_index(list(zip(held["item"].to_pylist(), held["text"].to_pylist())), share, alike=alike)
 
 
-def _scan(file: str, share: float, letters: int):
+def _scan(file: str, share: float, letters: int, alike: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index_of(file, share)
+        index = _index_of(file, share, alike)
         for batch in batches:
             rows, texts = batch.column(0), batch.column(1)
             sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
@@ -397,5 +398,5 @@ def leaked_items(
     found = []
     for file in sorted(written.inputFiles()):
         spark.sparkContext.addFile(file)
-        found.append(plain.mapInArrow(_scan(file.rpartition("/")[2], share, letters), schema))
+        found.append(plain.mapInArrow(_scan(file.rpartition("/")[2], share, letters, letters_alike(spark)), schema))
     return reduce(DataFrame.unionByName, found).toDF(row, item)

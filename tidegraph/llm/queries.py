@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.llm.leakage import leaked_items
-from tidegraph.llm.lookalike import form_sql, lookalike_pairs, unify_text
+from tidegraph.llm.lookalike import lookalike_classes, lookalike_pairs, unify_text
 from tidegraph.llm.packing import pack, word_punct_count
 from tidegraph.llm.percentiles import cell_percentiles, count_cells, exact_percentiles, merge_cells
 from tidegraph.plans.queries import HEAD, PRODUCTION, engine, table
@@ -61,12 +61,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike_pairs(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with a text, its class of texts that look alike and the first document with the very same text."""
+    return lookalike_classes(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     forms = unify_text(table(spark, d, "documents").select("doc_id", "text"), "text")
     return forms.select("doc_id", F.sha2("form", 256).alias("form_hash"), F.length("form").cast("bigint").alias("form_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_percentiles, p4_daily_cells, p6_found, p6_pack, p7_found, p8_found, p8_forms)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_percentiles, p4_daily_cells, p6_found, p6_pack, p7_found, p8_found, p8_classes, p8_forms)}
 
 _PRODUCTION = """
 e as (select distinct s, p, o from triples),
@@ -80,6 +85,15 @@ m as (select distinct sl.o site_label, wl.o wtur_label, i.o id
     where st.p = 'rdf:type' and st.o = 'rds:Site'),
 r as (select site_label, wtur_label, v from ts join m using (id) where v is not null)"""
 
+# The form stated anew: widths by their distance in the code charts, blanks and format characters by their class, letters by a list.
+_CYRILLIC, _GREEK = ("асԁеһіјӏорԛѕԝхуАВСЕԌНІЈКМОРԚЅТԜХҮУӀёЁїЇ", "acdehijlopqswxyABCEGHIJKMOPQSTWXYYIëËïÏ"), ("οϲϳνΑΒϹΕΗΙͿΚΜΝΟΡΤΧΥΖ", "ocjvABCEHIJKMNOPTXYZ")
+_FORMS = rf"""
+a as (select doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '\r\n?|[\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g'), '[\p{{Cf}}\x{{34f}}\x{{180b}}-\x{{180f}}\x{{fe00}}-\x{{fe0f}}]', '', 'g'), '\p{{Zs}}', ' ', 'g') x from documents),
+w as (select string_agg(chr(c::int), '' order by c) wide, string_agg(chr((c - 65248)::int), '' order by c) narrow from range(65281, 65375) r(c)),
+b as (select doc_id, text, translate(x, wide || 'ｱｲｳｴｵｶｷｸｹｺｻｼｽｾｿﾀﾁﾂﾃﾄﾅﾆﾇﾈﾉﾊﾋﾌﾍﾎﾏﾐﾑﾒﾓﾔﾕﾖﾗﾘﾙﾚﾛﾜﾝｰ｡｢｣､･ﾞﾟ', narrow || 'アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワンー。「」、・゙゚') y from a, w),
+c as (select doc_id, text, translate(nfc_normalize(y), '{_CYRILLIC[0]}{_GREEK[0]}', '{_CYRILLIC[1]}{_GREEK[1]}') z from b),
+f as (select doc_id, text, nfc_normalize(replace(replace(replace(replace(replace(replace(z, 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ĳ', 'ij')) form from c)"""
+
 SQL = {
     "p4_found": f"with {_PRODUCTION} select site_label, wtur_label from r group by all having quantile_cont(v, 0.95) >= 3 * quantile_cont(v, 0.5)",
     "p4_percentiles": f"""with {_PRODUCTION}, q as (select site_label, wtur_label, count(*) n, unnest([0.05, 0.25, 0.5, 0.75, 0.95, 0.99])::double p,
@@ -87,7 +101,8 @@ SQL = {
     "p4_daily_cells": f"""with {_PRODUCTION}, q as (select site_label, wtur_label, count(*) n, unnest([0.5, 0.95])::double p,
     unnest(quantile_disc(v, [0.5, 0.95])) v from r group by site_label, wtur_label) select site_label, wtur_label, p, n, v::bigint v, true within_bound from q""",
     "p6_found": r"select doc_id from documents where len(regexp_extract_all(text, '\w+|[^\w\s]+')) > 2048",
-    "p8_found": f"""with f as (select doc_id, text, {form_sql()} form from documents where text <> '')
-    select a.doc_id doc_id_a, b.doc_id doc_id_b from f a join f b on a.form = b.form and a.doc_id < b.doc_id and a.text <> b.text""",
-    "p8_forms": f"with f as (select doc_id, {form_sql()} form from documents) select doc_id, sha256(form) form_hash, length(form) form_chars from f",
+    "p8_found": f"with {_FORMS} select a.doc_id doc_id_a, b.doc_id doc_id_b from f a join f b on a.form = b.form and a.doc_id < b.doc_id and a.text <> b.text where a.text <> '' and b.text <> ''",
+    "p8_classes": f"""with {_FORMS}, t as (select form, text, min(doc_id) same_text from f where text <> '' group by all), k as (select form, min(same_text) "class", count(*) texts from t group by form)
+    select doc_id, "class", same_text, texts from f join t on t.text = f.text join k on k.form = t.form""",
+    "p8_forms": f"with {_FORMS} select doc_id, sha256(form) form_hash, length(form) form_chars from f",
 }
