@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidegraph.llm import packing
 from tidegraph.llm.packing import _across, _brackets, pack, vocabulary_count, word_punct_count
 
 
@@ -52,6 +53,13 @@ def test_small_and_odd_cases(spark):
         pack(spark.createDataFrame([], "id long, size long"), "id", F.col("size"), 3)
 
 
+def test_joins_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_BROADCAST", 0)
+    sizes = [int(x) for x in np.random.default_rng(3).integers(1, 300, 700)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "id long, size long").repartition(3)
+    check(pack(df, "id", F.col("size"), 320, 100).collect(), sizes, 320)
+
+
 def test_brackets_match_by_brute_force():
     rng = np.random.default_rng(9)
     for _ in range(200):

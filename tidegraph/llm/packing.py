@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
 from functools import reduce
 
@@ -15,6 +16,8 @@ from pyspark.sql import types as T
 
 from tidegraph.session import Spool, col, ship
 
+#: Rows that the driver sends to the executors by broadcast, a few numbers each; beyond it they are joined by shuffling.
+MOST_BROADCAST = 200_000
 #: A token is a maximal run of word characters or of other characters that are not blank (the WordPunct tokenizer).
 WORD_PUNCT = r"\w+|[^\w\s]+"
 _SWEPT = "what string, part bigint, place bigint, size bigint, item bigint, bin bigint, gap bigint"
@@ -32,6 +35,7 @@ def vocabulary_count(df: DataFrame, text: str, vocabulary: str, into: str = "tok
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(vocabulary)
@@ -154,7 +158,7 @@ def pack(df: DataFrame, row: str, size: Column, capacity: int, rows_per_sweep: i
     Rounds of bulk-synchronous best fit: the free items and the gaps of the open containers are range-partitioned by
     size and sorted; a sweep over each partition gives every gap the greatest free item before it, so that no two seek the same, and
     goes on with the rest of the gaps while items of the partition fit; the items and gaps left over are matched across partitions by their ranks, for which the driver sees a few numbers per
-    partition; there are as many partitions as give ``rows_per_sweep`` rows to each. Containers matched then have smaller gaps, and the next round begins, until all items
+    partition (some 100 bytes for each ``rows_per_sweep`` rows); there are as many partitions as give ``rows_per_sweep`` rows to each. Containers matched then have smaller gaps, and the next round begins, until all items
     are placed. A round whose gaps match less than 1/64 of the free items opens as many containers as the free items need at least. Items of at most 1/64 of
     the capacity are first joined to bundles of at most 1/32, in order of input, so a container holds some 64 of them at most, and takes as many rounds, however small the items are.
     """
@@ -162,6 +166,7 @@ def pack(df: DataFrame, row: str, size: Column, capacity: int, rows_per_sweep: i
         raise ValueError("a capacity below 16 is not supported")
     spark = df.sparkSession
     spool = spool or Spool(spark)
+    few = lambda d, rows: F.broadcast(d) if rows <= MOST_BROADCAST else d
     sized = df.select(col(row).alias("row"), F.greatest(F.coalesce(size.cast("bigint"), F.lit(0)), F.lit(0)).alias("size"))
     full = F.floor((F.col("size") - 1) / capacity).cast("bigint")
     pieces = sized.select("row", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(full, F.lit(0)))).alias("piece"), "size").select(
@@ -185,8 +190,8 @@ def pack(df: DataFrame, row: str, size: Column, capacity: int, rows_per_sweep: i
         pairs, kept = swept.where("what = 'pair'").select("item", "bin"), swept.where("what = 'kept'").select("bin", "gap")
         lone_items, lone_gaps = swept.where("what = 'item'").select("part", "place", "size", "item"), swept.where("what = 'gap'").select(F.col("part").alias("gap_part"), F.col("place").alias("gap_place"), "bin", "gap")
         if spans:
-            # two rows per partition at most
-            across = F.broadcast(spark.createDataFrame(spans, "ip bigint, ir bigint, gp bigint, gr bigint, m bigint"))
+            # two rows per sweep at most
+            across = few(spark.createDataFrame(spans, "ip bigint, ir bigint, gp bigint, gr bigint, m bigint"), len(spans))
             met, _ = spool.write(
                 lone_items.join(across, (F.col("part") == F.col("ip")) & (F.col("place") >= F.col("ir")) & (F.col("place") < F.col("ir") + F.col("m")))
                 .select("item", "size", F.col("gp").alias("gap_part"), (F.col("gr") + F.col("place") - F.col("ir")).alias("gap_place"))
@@ -197,7 +202,7 @@ def pack(df: DataFrame, row: str, size: Column, capacity: int, rows_per_sweep: i
             used = {}
             for p, ir, gp, gr, m in spans:
                 used[("i", p)], used[("g", gp)] = max(used.get(("i", p), 0), ir + m), max(used.get(("g", gp), 0), gr + m)
-            taken = F.broadcast(spark.createDataFrame([(k, p, n) for (k, p), n in used.items()], "k string, p bigint, n bigint"))
+            taken = few(spark.createDataFrame([(k, p, n) for (k, p), n in used.items()], "k string, p bigint, n bigint"), len(used))
             beyond = lambda d, k, part, place: d.join(taken.where(F.col("k") == k), F.col(part) == F.col("p"), "left").where(F.col(place) >= F.coalesce("n", F.lit(0))).drop("k", "p", "n")
             lone_items, lone_gaps = beyond(lone_items, "i", "part", "place"), beyond(lone_gaps, "g", "gap_part", "gap_place")
             pairs, kept = pairs.unionByName(met.select("item", "bin")), kept.unionByName(met.select("bin", "gap"))

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from tidegraph.llm.leakage import leaked_items
 from tidegraph.llm.lookalike import lookalike_classes, lookalike_pairs, unify_text
-from tidegraph.llm.packing import pack, word_punct_count
+from tidegraph.llm.packing import pack, vocabulary_count, word_punct_count
 from tidegraph.llm.percentiles import cell_percentiles, count_cells, exact_percentiles, merge_cells
 from tidegraph.plans.queries import HEAD, PRODUCTION, engine, table
 
 
-
 def _production(spark: SparkSession, d: str) -> DataFrame:
     """The production readings by turbine; the graph names the series, it is small and of fixed size."""
     series = engine(spark, d).execute_hybrid_query(f"{HEAD} SELECT DISTINCT ?site_label ?wtur_label ?id WHERE {{ {PRODUCTION} ?ts otit:hasExternalId ?id }}")
@@ -20,6 +19,8 @@ def _production(spark: SparkSession, d: str) -> DataFrame:
 
 
 KEYS = ["site_label", "wtur_label"]
+#: A tokenizer file that executors can read.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -42,10 +43,32 @@ def p4_daily_cells(spark: SparkSession, d: str) -> DataFrame:
     return merged.join(exact.drop("n"), [*KEYS, "p"]).select(*KEYS, "p", "n", F.col("exact").alias("v"), close.alias("within_bound"))
 
 
+def _capacity(spark: SparkSession, d: str) -> int:
+    return table(spark, d, "packs").where("pack_name = 'short_2k'").first()["capacity"]
+
+
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
-    """Each document's pieces in containers of short_2k, with the container's fill."""
-    capacity = table(spark, d, "packs").where("pack_name = 'short_2k'").first()["capacity"]
-    return pack(table(spark, d, "documents"), "doc_id", word_punct_count(F.col("text")), capacity)
+    """Each document's pieces in containers of short_2k."""
+    return pack(table(spark, d, "documents"), "doc_id", word_punct_count(F.col("text")), _capacity(spark, d))
+
+
+def p6_vocabulary(spark: SparkSession, d: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The same with sizes in tokens of a public tokenizer's vocabulary."""
+    counted = vocabulary_count(table(spark, d, "documents").select("doc_id", "text"), "text", vocabulary)
+    return pack(counted.drop("text"), "doc_id", F.col("tokens"), _capacity(spark, d))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """What any right packing has: every piece once, all tokens, no container over the capacity; and whether at most 2 % are unused beyond the least number of containers."""
+    capacity = _capacity(spark, d)
+    pieces = p6_pack(spark, d)
+    bins = pieces.where("container is not null").groupBy("container").agg(F.sum("piece_size").alias("fill"))
+    filled = bins.agg(F.count(F.lit(1)).alias("bins"), F.coalesce(F.max("fill") <= capacity, F.lit(True)).alias("kept_capacity"))
+    docs = pieces.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("piece").alias("kinds"), F.max("piece").alias("last"), F.sum("piece_size").alias("size"))
+    all_ = docs.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("pieces"), F.sum("size").alias("tokens"), F.coalesce(F.bool_and(F.expr("n = kinds and n = last + 1")), F.lit(True)).alias("each_once"))
+    one = all_.unionByName(filled, allowMissingColumns=True)
+    one = one.agg(*(F.max(c).alias(c) for c in one.columns))
+    return one.select("docs", "pieces", "tokens", "each_once", "kept_capacity", (F.col("bins") <= F.ceil(F.col("tokens") / capacity) * 1.02 + 1).alias("close_to_least"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -71,7 +94,7 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return forms.select("doc_id", F.sha2("form", 256).alias("form_hash"), F.length("form").cast("bigint").alias("form_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_percentiles, p4_daily_cells, p6_found, p6_pack, p7_found, p8_found, p8_classes, p8_forms)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_percentiles, p4_daily_cells, p6_found, p6_pack, p6_fill, p6_vocabulary, p7_found, p8_found, p8_classes, p8_forms)}
 
 _PRODUCTION = """
 e as (select distinct s, p, o from triples),
@@ -101,6 +124,8 @@ SQL = {
     "p4_daily_cells": f"""with {_PRODUCTION}, q as (select site_label, wtur_label, count(*) n, unnest([0.5, 0.95])::double p,
     unnest(quantile_disc(v, [0.5, 0.95])) v from r group by site_label, wtur_label) select site_label, wtur_label, p, n, v::bigint v, true within_bound from q""",
     "p6_found": r"select doc_id from documents where len(regexp_extract_all(text, '\w+|[^\w\s]+')) > 2048",
+    "p6_fill": r"""with t as (select doc_id, coalesce(len(regexp_extract_all(text, '\w+|[^\w\s]+')), 0) n from documents)
+    select count(*) docs, sum(greatest(1, ceil(n / 2048)))::bigint pieces, sum(n)::bigint tokens, true each_once, true kept_capacity, true close_to_least from t""",
     "p8_found": f"with {_FORMS} select a.doc_id doc_id_a, b.doc_id doc_id_b from f a join f b on a.form = b.form and a.doc_id < b.doc_id and a.text <> b.text where a.text <> '' and b.text <> ''",
     "p8_classes": f"""with {_FORMS}, t as (select form, text, min(doc_id) same_text from f where text <> '' group by all), k as (select form, min(same_text) "class", count(*) texts from t group by form)
     select doc_id, "class", same_text, texts from f join t on t.text = f.text join k on k.form = t.form""",
