@@ -61,3 +61,13 @@ def test_cells_of_days_are_combined(spark, groups):
             if k:
                 exact = discrete(vs, p)
                 assert got[k, g, p].n == len(vs) and abs(got[k, g, p].v - exact) <= abs(exact) * 2**-8
+
+
+def test_a_hot_group_is_spread_where_intervals_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(P, "MOST_BROADCAST", 0)
+    df = spark.range(40_000).selectExpr("case when id % 3 = 0 then 0 else id % 500 end k", "(id * 7919) % 10007 x")
+    got = exact_percentiles(df, ["k"], "x", [0.5], continuous=False)
+    want = {r.k: r.v for r in df.groupBy("k").agg(F.expr("percentile_disc(0.5) within group (order by x)").alias("v")).collect()}
+    assert {r.k: float(r.v) for r in got.collect()} == {k: float(v) for k, v in want.items()}
+    rows = P._within(df.selectExpr("k k0", "x v"), spark.createDataFrame([(0, 0, 10_006)], "rk0 long, rlo long, rhi long"), 1, ["k0"])
+    assert "pmod(xxhash64" in rows._jdf.queryExecution().optimizedPlan().toString() and rows.count() == df.where("k = 0").count()

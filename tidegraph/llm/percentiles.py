@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,10 @@ from tidegraph.session import Spool, col
 
 #: Intervals are broadcast up to this number of rows (some 50 bytes each); beyond it they are joined by shuffling.
 MOST_BROADCAST = 200_000
+#: Parts that the rows of a group are divided into where they are shuffled.
+SALTS = 32
+#: Cells of all intervals together that a pass counts at most, unless each has but 16.
+MOST_CELLS = 1 << 19
 
 
 def _same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
@@ -25,8 +30,15 @@ def _renamed(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.withColumnsRenamed({n: "r" + n for n in names})
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= MOST_BROADCAST else df
+def _within(data: DataFrame, intervals: DataFrame, rows: int, names: Sequence[str]) -> DataFrame:
+    """The rows in each of their group's intervals. Where these are too many to broadcast, the rows of a group are spread over SALTS parts, to each of which its intervals are given."""
+    if rows <= MOST_BROADCAST:
+        on, intervals = F.lit(True), F.broadcast(intervals)
+    else:
+        data = data.withColumn("salt", F.pmod(F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(SALTS)))
+        intervals = intervals.withColumn("rsalt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        on = data["salt"] == intervals["rsalt"]
+    return data.join(intervals, on & _same(data, intervals, names) & data["v"].between(intervals["rlo"], intervals["rhi"])).drop("salt", "rsalt")
 
 
 def _cell(v: Column, lo: Column, hi: Column, cells: int, whole: bool) -> Column:
@@ -39,13 +51,13 @@ def _cell(v: Column, lo: Column, hi: Column, cells: int, whole: bool) -> Column:
 
 
 def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[float], continuous: bool = True, tolerance: float = 0.0, levels: int = 6, spool: Spool | None = None
+    df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[float], continuous: bool = True, tolerance: float = 0.0, levels: int | None = None, spool: Spool | None = None
 ) -> DataFrame:
     """keys, p, n, v: the p-quantile of value in each group, exact up to ``tolerance``, by bisection.
 
     For each group and wanted rank an interval of values is maintained. Each pass counts, per group and interval,
-    the rows below the midpoints of the next ``levels`` bisections (2 ** levels cells at once), so that a pass
-    narrows an interval 2 ** levels times; the new interval is the least and greatest value found in the cell that
+    the rows below the midpoints of the next ``levels`` bisections (2 ** levels cells at once; from 4 to 12, as many as the number of
+    intervals allows within MOST_CELLS), so that a pass narrows an interval 2 ** levels times; the new interval is the least and greatest value found in the cell that
     holds the rank. It ends when all intervals are single values or at most ``tolerance`` wide. Counts are combined
     on the map side, and passes read only the keys and values, written once to the shared folder; a group of a third
     of all rows is counted like any other. Groups and intervals stay distributed, only the number of open ones comes to the driver.
@@ -82,10 +94,10 @@ def exact_percentiles(
         at = at.withColumns({"lo": F.coalesce(fixed, "lo"), "hi": F.coalesce(fixed, "hi")})
     state, path = spool.write(at.withColumn("below", F.col("low")).drop("low", "inside"))
     open_now = (F.col("lo") < F.col("hi")) & (F.col("hi").cast("double") - F.col("lo").cast("double") > tolerance) if tolerance > 0 else F.col("lo") < F.col("hi")
-    cells = 2**levels
-    while open_rows := state.where(open_now).count():
+    while open_rows := state.where(open_now).select(*names, "lo", "hi").distinct().count():
+        cells = 2 ** (levels or min(12, max(4, int(math.log2(MOST_CELLS / open_rows)))))
         intervals = _renamed(state.where(open_now).select(*names, "lo", "hi").distinct(), [*names, "lo", "hi"])
-        near = data.join(_bounded(intervals, open_rows), _same(data, intervals, names) & data["v"].between(intervals["rlo"], intervals["rhi"]))
+        near = _within(data, intervals, open_rows, names)
         counts = (
             near.withColumn("cell", _cell(F.col("v"), F.col("rlo"), F.col("rhi"), cells, whole))
             .groupBy(*("r" + n for n in names), "rlo", "rhi", "cell")
