@@ -222,6 +222,6 @@ def pack(df: DataFrame, row: str, size: Column, capacity: int, rows_per_sweep: i
     out = alone.unionByName(nothing)
     if placed:
         homes = reduce(DataFrame.unionByName, placed)
-        shared = members.where((F.col("piece_size") > 0) & (F.col("piece_size") < capacity)).join(homes, "item")
+        shared = members.where((F.col("piece_size") > 0) & (F.col("piece_size") < capacity)).join(homes.hint("merge"), "item")
         out = out.unionByName(shared.select("row", "piece", "piece_size", F.col("bin").alias("container")))
     return out.withColumnRenamed("row", row)
