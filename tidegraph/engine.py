@@ -33,6 +33,8 @@ class Engine:
         self.options = Options(vocabulary, FUNCTIONS | time_functions(vocabulary), {vocabulary + "nestAggregation": lambda v, by: in_order(v, by)}, nulls_last)
         self.predicate_of_names: str | None = None
         self.connectives: dict[str, str] = {}
+        self.name_template: Sequence[tuple] | None = None
+        self.type_template: Sequence[tuple] | None = None
 
     def set_time_series(self, source: SeriesSource) -> Engine:
         self.series = source
@@ -52,6 +54,11 @@ class Engine:
         self.predicate_of_names = iri
         return self
 
+    def templates(self, names: Sequence[tuple] | None = None, types: Sequence[tuple] | None = None) -> Engine:
+        """Triple templates by which the path language finds an element by name and by type, in place of those with the predicate of names."""
+        self.name_template, self.type_template = names, types
+        return self
+
     def connective_mapping(self, mapping: dict[str, str]) -> Engine:
         self.connectives = dict(mapping)
         return self
@@ -69,5 +76,5 @@ class Engine:
         from tidegraph.dsl.parser import parse_query
         from tidegraph.dsl.translate import Translator
 
-        translator = Translator(self.vocabulary, self.predicate_of_names, self.connectives)
+        translator = Translator(self.vocabulary, self.predicate_of_names, self.connectives, self.name_template, self.type_template)
         return self.execute(translator.translate(parse_query(text)))

@@ -90,6 +90,9 @@ FUNCTIONS: dict[str, Callable[..., Typed]] = {
     "STRBEFORE": _text(_before), "STRAFTER": _text(_after), "REGEX": _regex, "REPLACE": _replace, "ENCODE_FOR_URI": _text(lambda a: F.replace(F.url_encode(a), F.lit("+"), F.lit("%20"))),
     "MD5": _text(F.md5), "SHA1": _text(F.sha1), "SHA256": _text(lambda a: F.sha2(a, 256)), "SHA384": _text(lambda a: F.sha2(a, 384)), "SHA512": _text(lambda a: F.sha2(a, 512)),
     "NOW": lambda: (F.current_timestamp(), T.TimestampType()), "RAND": lambda: (F.rand(), T.DoubleType()), "TZ": lambda x: (F.when(x[0].isNotNull(), F.lit("Z")), T.StringType()),
+    "TIMEZONE": lambda x: (F.when(x[0].isNotNull(), F.lit("PT0S")), T.StringType()),
+    "IRI": _text(lambda a: a), "URI": _text(lambda a: a), "UUID": lambda: (F.concat(F.lit("urn:uuid:"), F.uuid()), T.StringType()), "STRUUID": lambda: (F.uuid(), T.StringType()),
+    "BNODE": lambda x=None: (F.concat(F.lit("_:"), F.uuid() if x is None else text_of(x)), T.StringType()), "STRLANG": _text(lambda a, tag: a),
     "ISNUMERIC": lambda x: (F.lit(isinstance(x[1], NUMERIC)), T.BooleanType()),
 } | {XSD + local: _cast(XSD + local) for local in ("string", "boolean", "integer", "int", "long", "short", "byte", "unsignedInt", "double", "decimal", "float", "dateTime", "date")}
 
@@ -214,6 +217,10 @@ class Expressions:
         if e.name == "LANGMATCHES":
             a, b = (F.lower(text_of(self.typed(x))) for x in e.args)
             return F.when(b == "*", F.length(a) > 0).otherwise((a == b) | F.startswith(a, F.concat(b, F.lit("-")))), T.BooleanType()
+        if e.name == "STRDT":
+            # the text read as of the datatype; of one without a type here it stays text
+            of = e.args[1].term.value if isinstance(e.args[1], A.Const) and isinstance(e.args[1].term, Iri) else None
+            return self.functions[of](self.typed(e.args[0])) if of in self.functions else (text_of(self.typed(e.args[0])), T.StringType())
         f = self.functions.get(e.name)
         if f is None:
             raise UnknownFunction(f"function {e.name} is not known")

@@ -557,9 +557,13 @@ class Compiler:
         if node.var.name in of.names:
             return of
         value, kind = self.expressions(of).typed(node.expr)
-        e = node.expr
+        e, df = node.expr, of.df.withColumn(node.var.name, value)
+        if node.var.name in self.meta and isinstance(e, A.Call) and e.name in ("STRLANG", "STRDT") and f"{node.var.name}@lang" not in of.names:
+            tag = self.expressions(of).typed(e.args[1])[0].cast("string")
+            tags = {"lang": tag, "dt": F.lit("rdf:langString")} if e.name == "STRLANG" else {"lang": F.lit(""), "dt": tag}
+            df = df.withColumns({f"{node.var.name}@{k}": F.when(value.isNotNull(), c) for k, c in tags.items()} | {f"{node.var.name}@literal": F.lit(True)})
         safe = isinstance(e, A.Const) or isinstance(e, A.Ref) and e.var.name in of.names and e.var.name not in of.nullable
-        return Solutions(of.df.withColumn(node.var.name, value), of.nullable | (set() if safe else {node.var.name}))
+        return Solutions(df, of.nullable | (set() if safe else {node.var.name}))
 
     def _values(self, node: A.Values) -> Solutions:
         names = [v.name for v in node.names]

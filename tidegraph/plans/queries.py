@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.engine import Engine
+from tidegraph.session import Spool
 from tidegraph.sources.graph import TripleStore
 from tidegraph.sources.series import FrameSource, TableSource, TimeSeriesTable
 from tidegraph.streaming.available import readings_stream, run_available
 from tidegraph.stottr.mapping import Mapping, MintingOptions, ResolveIRI, ntriples
-from tidegraph.terms import RDF, RDFS, XSD
+from tidegraph.terms import RDF, RDFS, XSD, Iri
 
 PREFIXES = {"rdf": RDF, "rdfs": RDFS, "xsd": XSD, "otit": "urn:series#", "rds": "urn:rds#", "wp": "urn:wp#", "types": "urn:types#", "case": "urn:case#"}
 HEAD = "".join(f"PREFIX {p}: <{i}>\n" for p, i in PREFIXES.items())
@@ -114,6 +115,30 @@ sparql("sync_two_series", f"""SELECT ?wtur ?seconds ?a ?b WHERE {{ {PRODUCTION}
     join e k on k.s = n.s and k.p = 'rdf:type' and k.o = 'rds:LE' join e h on h.s = n.s and h.p = 'otit:hasTimeseries' join e l on l.s = h.o and l.p = 'rdfs:label' and l.o = 'Windspeed' join e i on i.s = h.o and i.p = 'otit:hasExternalId')
     select x.wtur, x.us // 1000000 as seconds, x.v a, r.v b from x join w on w.wtur = x.wtur join r on r.id = w.id and r.t = x.t""")
 
+# two parts of the graph that only the time of their readings connects
+sparql("sync_by_time", f"""SELECT ?a ?b ?seconds ?v ?v2 WHERE {{ ?ts rdfs:label "Production" ; otit:hasExternalId ?a . {READ} ?ts2 rdfs:label "Windspeed" ; otit:hasExternalId ?b .
+    ?ts2 otit:hasDataPoint ?dp2 . ?dp2 otit:hasTimestamp ?t ; otit:hasValue ?v2 . BIND({SECONDS} AS ?seconds) }}""",
+    f"""with {_E}, {_R}, x as (select i.o id, l.o label, t, v from e l join e h on h.o = l.s and h.p = 'otit:hasTimeseries' join e i on i.s = l.s and i.p = 'otit:hasExternalId' join r on r.id = i.o where l.p = 'rdfs:label' and l.o in ('Production', 'Windspeed'))
+    select a.id a, b.id b, epoch_us(a.t) // 1000000 as seconds, a.v, b.v v2 from x a join x b on a.t = b.t and a.label = 'Production' and b.label = 'Windspeed'""")
+sparql("reduced_rows", "SELECT REDUCED ?w WHERE { ?w types:hasSensor ?s }", f"with {_E} select s w from e where p = 'types:hasSensor'")
+
+
+def _named(spark: SparkSession, d: str) -> Engine:
+    """The same triples in two named graphs, names of structure in one and literals in the other."""
+    graphs = lambda: TripleStore(table(spark, d, "triples").withColumn("g", F.when(F.col("o_kind") == "literal", "urn:g#literals").otherwise("urn:g#structure")), PREFIXES)
+    return Engine(_store(spark, d, graphs, "named"), "urn:series#")
+
+
+@query(f"with {_E} select case when o_kind = 'literal' then 'urn:g#literals' else 'urn:g#structure' end g, count(*) n from e group by all")
+def graph_variable(spark: SparkSession, d: str) -> DataFrame:
+    return _named(spark, d).execute_hybrid_query(HEAD + "SELECT ?g (COUNT(*) AS ?n) WHERE { GRAPH ?g { ?s ?p ?o } } GROUP BY ?g")
+
+
+@query(f"with {_E} select a.s w, l.o l from e a join e l on l.s = a.s and l.p = 'rdfs:label' and l.o_kind = 'literal' where a.p = 'rdf:type' and a.o = 'types:BigWidget'")
+def graph_named(spark: SparkSession, d: str) -> DataFrame:
+    return _named(spark, d).execute_hybrid_query(HEAD + "SELECT ?w ?l WHERE { GRAPH <urn:g#structure> { ?w a types:BigWidget } GRAPH <urn:g#literals> { ?w rdfs:label ?l } }")
+
+
 # aggregation --------------------------------------------------------------------------------------
 
 sparql("hybrid_group_sum", f"SELECT ?site_label (SUM(?v) AS ?sum_v) WHERE {{ {PRODUCTION} {READ} }} GROUP BY ?site_label", f"{_PR} select site_label, sum(v)::bigint sum_v from x group by 1")
@@ -125,9 +150,8 @@ sparql(
 )
 sparql("agg_distinct_avg", "SELECT ?site_label (ROUND(AVG(DISTINCT ?v)) AS ?a) WHERE { " + PRODUCTION + READ + "} GROUP BY ?site_label", f"{_PR} select site_label, floor(avg(distinct v) + 0.5) a from x group by 1")
 sparql("count_distinct_rows", f"SELECT (COUNT(DISTINCT *) AS ?n) WHERE {{ {SENSOR} }}", f"{_SR} select count(distinct (w, s, ts)) n from w")
-sparql("group_concat_ordered", f'SELECT ?w (GROUP_CONCAT(?v; separator="-") AS ?cc) WHERE {{ {SENSOR} {READ} FILTER(?t < "2022-01-01T06:00:00Z"^^xsd:dateTime) }} GROUP BY ?w', f"{_SR} select w, string_agg(v::varchar, '-' order by t, v::varchar) cc from x where us < 1641016800000000 group by w")
-# every reading of the sensors by periods of ten minutes, where group_concat_ordered has those of the first six hours
 sparql("group_concat_periods", f'SELECT ?w ?period (GROUP_CONCAT(?v; separator="-") AS ?cc) WHERE {{ {SENSOR} {READ} BIND(xsd:integer(FLOOR({SECONDS} / 600.0)) AS ?period) }} GROUP BY ?w ?period', f"{_SR} select w, us // 600000000 period, string_agg(v::varchar, '-' order by t, v::varchar) cc from x group by all")
+sparql("group_concat_distinct", f'SELECT ?w (GROUP_CONCAT(DISTINCT ?v; separator="|") AS ?cc) WHERE {{ {SENSOR} {READ} }} GROUP BY ?w', f"{_SR} select w, string_agg(distinct v::varchar, '|' order by v::varchar) cc from x group by w")
 sparql("sample_value", f"SELECT ?w (SAMPLE(?s) AS ?one) WHERE {{ {SENSOR} }} GROUP BY ?w", f"{_SR} select w, min(s) one from w group by w")
 
 
@@ -144,11 +168,7 @@ sparql("subselect_join", f"SELECT ?w ?s ?m WHERE {{ {SENSOR} {{ SELECT ?w (MAX(?
 sparql("optional_left", "SELECT ?w ?l ?k WHERE { ?w types:hasSensor ?s OPTIONAL { ?w a types:BigWidget ; rdfs:label ?l . ?s rdfs:label ?k } }", f"with {_E} select a.s w, l.o l, k.o k from e a left join (e b join e l on l.s = b.s and l.p = 'rdfs:label' join e sk on sk.s = b.s and sk.p = 'types:hasSensor' join e k on k.s = sk.o and k.p = 'rdfs:label') on b.s = a.s and b.p = 'rdf:type' and b.o = 'types:BigWidget' and sk.o = a.o where a.p = 'types:hasSensor'")
 sparql("optional_filter", 'SELECT ?w ?l WHERE { ?w types:hasSensor ?s OPTIONAL { ?w rdfs:label ?l FILTER(LANG(?l) = "no") } }', f"with {_E} select a.s w, l.o l from e a left join e l on l.s = a.s and l.p = 'rdfs:label' and l.o_lang = 'no' where a.p = 'types:hasSensor'")
 sparql("optional_correlated", f"SELECT ?s ?v ?greater WHERE {{ {SENSOR} {READ} OPTIONAL {{ BIND(?v > 5000 AS ?greater) FILTER(?greater) }} }}", f"{_SR} select s, v, case when v > 5000 then true end greater from x")
-sparql("optional_range", f"""SELECT ?s ?a ?b WHERE {{ {SENSOR} {READ} BIND({SECONDS} AS ?a) FILTER(?t < "2022-01-01T03:00:00Z"^^xsd:dateTime)
-    OPTIONAL {{ ?s otit:hasTimeseries ?ts9 . ?ts9 otit:hasDataPoint ?dp2 . ?dp2 otit:hasTimestamp ?t2 ; otit:hasValue ?v2 . BIND(otit:DateTimeAsSeconds(?t2) AS ?b) FILTER(?b > ?a && ?b <= ?a + 900 && ?v2 > ?v) }} }}""",
-    f"{_SR} select a.s, a.us // 1000000 a, b.us // 1000000 b from x a left join x b on a.w = b.w and a.s = b.s and b.us // 1000000 > a.us // 1000000 and b.us // 1000000 <= a.us // 1000000 + 900 and b.v > a.v where a.us < 1641006000000000")
-# every reading of the sensors, where optional_range has those of the first three hours
-sparql("optional_range_all", f"""SELECT ?s ?a ?b WHERE {{ {SENSOR} {READ} BIND({SECONDS} AS ?a)
+sparql("optional_range", f"""SELECT ?s ?a ?b WHERE {{ {SENSOR} {READ} BIND({SECONDS} AS ?a)
     OPTIONAL {{ ?s otit:hasTimeseries ?ts9 . ?ts9 otit:hasDataPoint ?dp2 . ?dp2 otit:hasTimestamp ?t2 ; otit:hasValue ?v2 . BIND(otit:DateTimeAsSeconds(?t2) AS ?b) FILTER(?b > ?a && ?b <= ?a + 900 && ?v2 > ?v) }} }}""",
     f"{_SR} select a.s, a.us // 1000000 a, b.us // 1000000 b from x a left join x b on a.w = b.w and a.s = b.s and b.us // 1000000 > a.us // 1000000 and b.us // 1000000 <= a.us // 1000000 + 900 and b.v > a.v")
 sparql("minus_anti", "SELECT ?w ?s WHERE { ?w types:hasSensor ?s MINUS { ?w a types:BigWidget } }", f"with {_E} select s w, o s from e where p = 'types:hasSensor' and s not in (select s from e where p = 'rdf:type' and o = 'types:BigWidget')")
@@ -157,6 +177,14 @@ sparql("exists_semi", f"SELECT ?w ?s WHERE {{ ?w types:hasSensor ?s FILTER EXIST
 sparql("not_exists_anti", f"SELECT ?w ?s WHERE {{ ?w types:hasSensor ?s FILTER NOT EXISTS {{ ?s otit:hasTimeseries ?ts . {READ} FILTER(?v > 100000) }} }}", f"{_SR} select w, s from w where s not in (select s from x where v > 100000)")
 sparql("not_exists_aggregated", f"SELECT ?w ?s WHERE {{ ?w types:hasSensor ?s FILTER NOT EXISTS {{ SELECT ?s WHERE {{ ?s otit:hasTimeseries ?ts . {READ} }} GROUP BY ?s HAVING (SUM(?v) <= 1000000) }} }}", f"{_SR} select w, s from w where s not in (select s from x group by s having sum(v) <= 1000000)")
 sparql("exists_or_projected", "SELECT ?w (EXISTS {?w a types:BigWidget} AS ?big) WHERE { ?w types:hasSensor ?s FILTER(?s = case:sensor1 || EXISTS {?w a types:BigWidget}) }", f"with {_E}, b as (select s from e where p = 'rdf:type' and o = 'types:BigWidget') select s w, s in (from b) big from e where p = 'types:hasSensor' and (o = 'case:sensor1' or s in (from b))")
+# variables that may be unbound on either side
+_BIG = "big as (select a.s w, l.o l from e a join e l on l.s = a.s and l.p = 'rdfs:label' where a.p = 'rdf:type' and a.o = 'types:BigWidget'), en as (select l.s w, l.o l from e l where l.p = 'rdfs:label' and l.o_lang = 'en'), se as (select s w, o s from e where p = 'types:hasSensor')"
+_ENGLISH = 'OPTIONAL { ?w a types:BigWidget ; rdfs:label ?l FILTER(LANG(?l) = "en") }'
+_MAYBE = f"{_BIG}, a as (select se.w, s, b.l from se left join (select big.* from big join en using (w, l)) b using (w))"
+sparql("join_unbound", f"SELECT ?w ?s ?l WHERE {{ {{ ?w types:hasSensor ?s }} {{ ?w rdfs:label ?l FILTER(LANG(?l) = 'no') }} {{ ?w types:hasSensor ?s {_ENGLISH.replace('en', 'no')} }} }}", f"with {_E}, {_BIG}, no as (select s w, o l from e where p = 'rdfs:label' and o_lang = 'no') select w, s, l from se join no using (w)")
+sparql("optional_unbound", f"SELECT ?w ?l ?k WHERE {{ {{ SELECT DISTINCT ?w ?l WHERE {{ ?w rdfs:label ?l FILTER(STRSTARTS(?l, 'widget')) }} }} OPTIONAL {{ {{ ?w types:hasSensor ?k }} UNION {{ ?w a ?k . ?w rdfs:label ?l }} }} }}", f"with {_E}, a as (select distinct s w, o l from e where p = 'rdfs:label' and o like 'widget%') select a.w, a.l, k.k from a left join (select s w, o k from e where p = 'types:hasSensor' union all select x.s, x.o from e x join a on a.w = x.s where x.p = 'rdf:type') k using (w)")
+sparql("minus_unbound", f"SELECT ?w ?s ?l WHERE {{ ?w types:hasSensor ?s {_ENGLISH} MINUS {{ {{ ?w a types:BigWidget ; rdfs:label ?l }} UNION {{ ?x a rds:Site ; rdfs:label ?l }} UNION {{ ?w types:hasSensor case:sensor1 }} }} }}", f"with {_E}, {_MAYBE} select w, s, l from a where l is null and w not in (select w from se where s = 'case:sensor1')")
+sparql("exists_unbound", f"SELECT ?w ?s ?l WHERE {{ ?w types:hasSensor ?s {_ENGLISH} FILTER EXISTS {{ {{ ?w a types:SmallWidget }} UNION {{ ?w a types:BigWidget ; rdfs:label ?l FILTER(CONTAINS(?l, '2')) }} }} }}", f"with {_E}, {_MAYBE} select w, s, l from a where l like '%2%' or w in (select s from e where p = 'rdf:type' and o = 'types:SmallWidget')")
 sparql("union_bag", "SELECT ?x WHERE { { ?x a types:BigWidget } UNION { ?x types:hasSensor ?s } UNION { ?x a rds:Site } }", f"with {_E} select s x from e where (p = 'rdf:type' and o in ('types:BigWidget', 'rds:Site')) or p = 'types:hasSensor'")
 sparql("distinct_rows", f"SELECT DISTINCT ?wtur ?v WHERE {{ {PRODUCTION} {READ} }}", f"{_PR} select distinct wtur, v from x")
 sparql("values_join", "SELECT ?w ?s ?n WHERE { ?w types:hasSensor ?s VALUES (?w ?n) { (case:widget1 1) (case:widget2 2) (UNDEF 3) } }", f"with {_E} select s w, o s, n from e, (values ('case:widget1', 1), ('case:widget2', 2), (null, 3)) x(k, n) where p = 'types:hasSensor' and (k = s or k is null)")
@@ -164,6 +192,9 @@ sparql("values_join", "SELECT ?w ?s ?n WHERE { ?w types:hasSensor ?s VALUES (?w
 # expressions --------------------------------------------------------------------------------------
 
 sparql("in_filter", f"SELECT ?s ?v WHERE {{ {SENSOR} {READ} FILTER(?v IN ((300+4), 500, 612) || ?s NOT IN (case:sensor1, case:sensor2)) FILTER(?v < 1000) }}", f"{_SR} select s, v from x where (v in (304, 500, 612) or s not in ('case:sensor1', 'case:sensor2')) and v < 1000")
+sparql("not_equal", f"SELECT ?s ?v WHERE {{ {SENSOR} {READ} FILTER(?v != 500 && ?s != case:sensor1) }}", f"{_SR} select s, v from x where v <> 500 and s <> 'case:sensor1'")
+sparql("hash_funcs", 'SELECT ?l (MD5(?l) AS ?a) (SHA1(?l) AS ?b) (SHA256(?l) AS ?c) (ENCODE_FOR_URI(?l) AS ?d) (LANGMATCHES(LANG(?l), "EN") AS ?e) WHERE { ?w rdfs:label ?l }', f"with {_E} select o l, md5(o) a, sha1(o) b, sha256(o) c, url_encode(o) d, coalesce(lower(o_lang) = 'en' or lower(o_lang) like 'en-%', false) e from e where p = 'rdfs:label'")
+sparql("term_funcs", 'SELECT ?l (IRI(CONCAT("urn:x#", STR(?k))) AS ?a) (STRDT(?k, xsd:integer) + 1 AS ?b) (LANG(?m) AS ?c) (STRLEN(STR(UUID())) AS ?d) (STRLEN(STRUUID()) AS ?e) (isBlank(?n) AS ?f) (TIMEZONE(xsd:dateTime("2022-01-01T00:00:00Z")) AS ?g) WHERE { ?w a types:BigWidget ; rdfs:label ?l BIND(STRAFTER(?l, " ") AS ?k) BIND(STRLANG(?l, "nb") AS ?m) BIND(BNODE(?k) AS ?n) }', f"with {_E} select l.o l, 'urn:x#' || split_part(l.o, ' ', 2) a, split_part(l.o, ' ', 2)::bigint + 1 b, 'nb' c, 45 d, 36 e, true f, 'PT0S' g from e a join e l on l.s = a.s and l.p = 'rdfs:label' where a.p = 'rdf:type' and a.o = 'types:BigWidget'")
 sparql("if_expr", f"SELECT ?s (IF(?v > 5000, ?v, 5000) AS ?x) WHERE {{ {SENSOR} {READ} }}", f"{_SR} select s, greatest(v, 5000) x from x")
 sparql("coalesce_bound", "SELECT ?w ?b (COALESCE(?l, ?w) AS ?c) WHERE { ?w types:hasSensor ?s OPTIONAL { ?w a types:BigWidget ; rdfs:label ?l FILTER(LANG(?l) = 'en') } BIND(BOUND(?l) AS ?b) }", f"with {_E} select a.s w, l.o is not null b, coalesce(l.o, a.s) c from e a left join (e b join e l on l.s = b.s and l.p = 'rdfs:label' and l.o_lang = 'en' and b.p = 'rdf:type' and b.o = 'types:BigWidget') on b.s = a.s where a.p = 'types:hasSensor'")
 sparql("math_funcs", f"SELECT ?s ?v (ABS(-?v) AS ?a) (CEIL(?v / 7.0) AS ?b) (FLOOR(?v / 7.0) AS ?c) (ROUND(?v / 8.0) AS ?d) ((?v + 3) * 2 - 1 AS ?e) (?v / 0 AS ?f) WHERE {{ {SENSOR} {READ} }}", f"{_SR} select s, v, abs(-v) a, ceil(v / 7.0::double) b, floor(v / 7.0::double) c, floor(v / 8.0::double + 0.5) d, (v + 3) * 2 - 1 e, null::double f from x")
@@ -220,12 +251,42 @@ def star_schema_series(spark: SparkSession, d: str) -> DataFrame:
     return star_engine(spark, d).execute_hybrid_query(q).select("name", "segment", "n", F.round("sum", 2).alias("total"))
 
 
+_days: dict[tuple[str, str], str] = {}
+
+
+def partitioned_engine(spark: SparkSession, d: str) -> Engine:
+    """The readings of ``ts`` as a table on storage, partitioned by year, month and day; it is written once in an application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _days:
+        ts = table(spark, d, "ts").withColumns({"y": F.year("ts"), "m": F.month("ts"), "d": F.dayofmonth("ts")}).repartitionByRange("ts", "id")
+        _days[key] = Spool(spark).write(ts, by=["y", "m", "d"])[1]
+    kept = TimeSeriesTable(XSD + "int", path=_days[key], timestamp_column="ts", value_column="v", year_column="y", month_column="m", day_column="d")
+    return engine(spark, d).set_time_series(TableSource(spark, [kept]))
+
+
 @query(f"{_PR} select wtur, count(*) n from x where us >= 1642896000000000 and us < 1643068800000000 group by wtur")
 def partition_pruned(spark: SparkSession, d: str) -> DataFrame:
-    """A table that carries year, month and day of the timestamp; the bounds are put on these too."""
-    ts = table(spark, d, "ts").select("id", "ts", "v", F.year("ts").alias("y"), F.month("ts").alias("m"), F.dayofmonth("ts").alias("d"))
-    source = TableSource(spark, [TimeSeriesTable(XSD + "int", ts, timestamp_column="ts", value_column="v", year_column="y", month_column="m", day_column="d")])
+    """Bounds on the time are bounds on the partition columns: only the folders of these days are read."""
     q = f'SELECT ?wtur (COUNT(*) AS ?n) WHERE {{ {PRODUCTION} {READ} FILTER(?t >= "2022-01-23T00:00:00Z"^^xsd:dateTime && ?t < "2022-01-25T00:00:00Z"^^xsd:dateTime) }} GROUP BY ?wtur'
+    return partitioned_engine(spark, d).execute_hybrid_query(HEAD + q)
+
+
+@query(f"{_PR}, c as (select wtur, count(*) n from x group by wtur) select wtur, us // 1000000 as seconds, v, n from x join c using (wtur) where us >= 1642896000000000 and us < 1643068800000000")
+def partition_scope(spark: SparkSession, d: str) -> DataFrame:
+    """The bounds outside do not reach into a sub-select that counts readings of all times."""
+    q = f"""SELECT ?wtur ?seconds ?v ?n WHERE {{ {PRODUCTION} {READ} BIND({SECONDS} AS ?seconds) {{ SELECT ?wtur (COUNT(?v) AS ?n) WHERE {{ {PRODUCTION} {READ} }} GROUP BY ?wtur }}
+    FILTER(?t >= "2022-01-23T00:00:00Z"^^xsd:dateTime && ?t < "2022-01-25T00:00:00Z"^^xsd:dateTime) }}"""
+    return partitioned_engine(spark, d).execute_hybrid_query(HEAD + q)
+
+
+@query(f"{_SR} select w, count(*) n, sum(v)::bigint total from x where us >= 1640995200000000 group by w")
+def csv_series(spark: SparkSession, d: str) -> DataFrame:
+    """Readings of ``ts1`` from CSV files."""
+    rows = table(spark, d, "ts1").withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    path = f"{Spool(spark).root}/csv"
+    rows.write.csv(path, header=True)
+    source = TableSource(spark, [TimeSeriesTable(XSD + "long", path=path, format="csv", options={"header": "true", "inferSchema": "true"})])
+    q = f'SELECT ?w (COUNT(*) AS ?n) (SUM(?v) AS ?total) WHERE {{ {SENSOR} {READ} FILTER(?t >= "2022-01-01T00:00:00Z"^^xsd:dateTime) }} GROUP BY ?w'
     return engine(spark, d).set_time_series(source).execute_hybrid_query(HEAD + q)
 
 
@@ -260,6 +321,63 @@ def dsl_group_nest(spark: SparkSession, d: str) -> DataFrame:
     return df.select(F.col("n_path_name").alias("path"), F.unix_micros("timestamp").alias("us"), F.size(values).cast("bigint").alias("n"), F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
+# customers with three meters, whose readings are of three datatypes: amount (double), number (long) and kind (string)
+_METERS = """@prefix ex: <urn:ex#> . @prefix ts: <urn:tidegraph:series#> .
+ex:Meter [xsd:anyURI ?customer, xsd:anyURI ?meter, xsd:string ?name, xsd:string ?of, xsd:anyURI ?datatype, xsd:string ?id] :: {
+  ottr:Triple(?customer, ex:kind, "Customer"), ottr:Triple(?customer, ex:name, ?of), ottr:Triple(?customer, ex:hasMeter, ?meter), ottr:Triple(?meter, ex:name, ?name),
+  ottr:Triple(?meter, ts:hasTimeseries, ?meter), ottr:Triple(?meter, ts:hasExternalId, ?id), ottr:Triple(?meter, ts:hasDatatype, ?datatype) } ."""
+
+
+def _meter_triples(spark: SparkSession, d: str) -> DataFrame:
+    m = Mapping(_METERS, spark)
+    users = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("of"))
+    for name, kind in (("amount", "double"), ("number", "long"), ("kind", "string")):
+        row = users.select(F.concat(F.lit(name), "id").alias("Key"), F.concat(F.lit("urn:ex#customer"), "id").alias("customer"), F.concat(F.lit(f"urn:ex#{name}"), "id").alias("meter"), F.lit(name).alias("name"), "of", F.lit(XSD + kind).alias("datatype"), "id")
+        m.expand("ex:Meter", row, validate=False)
+    return m.triples()
+
+
+def _meters(spark: SparkSession, d: str, text: str) -> DataFrame:
+    """A query of the path language with own templates for names and types: a type is a literal of the element itself."""
+    store = _store(spark, d, lambda: TripleStore(_meter_triples(spark, d)), "meters")
+    events = table(spark, d, "events").withColumn("user_id", F.col("user_id").cast("string"))
+    tables = [TimeSeriesTable(XSD + kind, events, identifier_column="user_id", timestamp_column="ts", value_column=c) for kind, c in (("double", "value"), ("long", "event_id"), ("string", "event_type"))]
+    e = Engine(store).set_time_series(TableSource(spark, tables)).connective_mapping({".": "urn:ex#hasMeter"})
+    e.templates([("element", Iri("urn:ex#name"), "name")], [("element", Iri("urn:ex#kind"), "name")])
+    return e.execute_dsl_query(text)
+
+
+_ME = "with m as (select c_name || '.' p, epoch_us(ts) us, value amount, event_id number, event_type kind from events join customer on user_id = c_custkey)"
+
+
+@query(f"{_ME} select a.p || 'amount' path, a.us, a.amount, b.number from m a join m b on a.p = b.p and a.us = b.us where a.amount >= 20 and b.number < 900")
+def dsl_two_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Two paths of one element share their timestamp."""
+    df = _meters(spark, d, '[c]Customer."amount" >= 20.0\n[c]."number" < 900')
+    return df.select(F.col("c_amount__path_name").alias("path"), F.unix_micros("timestamp").alias("us"), F.col("c_amount__timeseries_datapoint_value").alias("amount"), F.col("c_number__timeseries_datapoint_value").alias("number"))
+
+
+@query(f"{_ME} select a.p || 'amount' path, a.us, a.amount, b.kind from m a left join m b on a.p = b.p and a.us = b.us and b.kind <> 'click' where a.amount <= 5")
+def dsl_optional(spark: SparkSession, d: str) -> DataFrame:
+    """An optional path, with a condition of its own, takes no row away."""
+    df = _meters(spark, d, '[c]Customer."amount" <= 5.0\n[c]."kind"? != "click"')
+    return df.select(F.col("c_amount__path_name").alias("path"), F.unix_micros("timestamp").alias("us"), F.col("c_amount__timeseries_datapoint_value").alias("amount"), F.col("c_kind__timeseries_datapoint_value").alias("kind"))
+
+
+@query(f"{_ME} select p || 'kind' path, us, kind, amount from m where kind like 'p%' and amount < number")
+def dsl_operators(spark: SparkSession, d: str) -> DataFrame:
+    """A pattern of text, and a path held against a path."""
+    df = _meters(spark, d, '[c]Customer."kind" like "p%"\n[c]."amount" < [c]."number"')
+    return df.select(F.col("c_kind__path_name").alias("path"), F.unix_micros("timestamp").alias("us"), F.col("c_kind__timeseries_datapoint_value").alias("kind"), F.col("c_amount__timeseries_datapoint_value").alias("amount"))
+
+
+@query(f"{_ME} select p || 'kind' path, us // 500000 * 500000 us, max(kind) kind from m where kind = 'error' group by all")
+def dsl_half_seconds(spark: SparkSession, d: str) -> DataFrame:
+    """Periods that are no whole seconds."""
+    df = _meters(spark, d, 'Customer."kind" = "error"\naggregate max 500ms')
+    return df.select(F.col("Customer_kind__path_name").alias("path"), F.unix_micros("timestamp").alias("us"), F.col("Customer_kind__timeseries_datapoint_value").alias("kind"))
+
+
 # mapper -------------------------------------------------------------------------------------------
 
 _TEMPLATES = """@prefix ex: <urn:ex#> .
@@ -270,6 +388,11 @@ ex:Refers [xsd:anyURI ?x, ? xsd:anyURI ?node] :: { ottr:Triple(?x, ex:refers, ?n
 ex:Cross [xsd:anyURI ?x, List<xsd:long> ?a, List<xsd:long> ?b] :: { cross | ex:Two(?x, ++?a, ++?b) } .
 ex:Min [xsd:anyURI ?x, List<xsd:long> ?a, List<xsd:long> ?b] :: { zipMin | ex:Two(?x, ++?a, ++?b) } .
 ex:Max [xsd:anyURI ?x, List<xsd:long> ?a, List<xsd:long> ?b] :: { zipMax | ex:Two(?x, ++?a, ++?b) } .
+ex:Listed [xsd:anyURI ?x, List<xsd:anyURI> ?nodes] :: { cross | ottr:Triple(?x, ex:node, ++?nodes) } .
+ex:Named [xsd:anyURI ?x, ?name] :: { ottr:Triple(?x, ex:name, ?name), ottr:Triple(?x, ex:note, "fixed"@nb-NO) } .
+ex:Times [xsd:anyURI ?x, ?here, ?there] :: { ottr:Triple(?x, ex:here, ?here), ottr:Triple(?x, ex:there, ?there) } .
+ex:Sized [xsd:anyURI ?x, List<xsd:long> ?a, List<xsd:anyURI> ?nodes] :: { zipMax | ex:Item(++?nodes, ++?a) } .
+ex:Item [xsd:anyURI ?node, xsd:long ?a] :: { ottr:Triple(?node, ex:a, ?a) } .
 ex:Two [xsd:anyURI ?x, ? xsd:long ?a, ? xsd:long ?b] :: { ottr:Triple(?x, ex:a, ?a), ottr:Triple(?x, ex:b, ?b) } ."""
 _X = "http://www.w3.org/2001/XMLSchema#"
 
@@ -314,6 +437,39 @@ def mapper_resolve(spark: SparkSession, d: str) -> DataFrame:
     return _plain(m.triples().where("p = 'urn:ex#refers'"))
 
 
+@query("with n as (select c_custkey k, 'urn:ex#node' || (row_number() over (order by c_custkey) + 2) node from customer) select 'urn:ex#order' || o_orderkey s, 'urn:ex#node' p, node o, 'iri' o_kind, '' dt from (select o_orderkey, unnest([o_custkey, o_custkey + 1]) c from orders) join n on k = c")
+def mapper_resolve_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of keys become lists of the IRIs minted for them; a key without one gives no triple."""
+    m = _minted(spark, d)
+    keys = F.array(F.format_string("%09d", "o_custkey"), F.format_string("%09d", F.col("o_custkey") + 1))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("Key"), F.concat(F.lit("urn:ex#order"), "o_orderkey").alias("x"), keys.alias("customers"))
+    m.expand("ex:Listed", o, resolve_iris={"nodes": ResolveIRI("customers", "ex:Minted", "node")}, validate=False)
+    return _plain(m.triples().where("p = 'urn:ex#node'"))
+
+
+@query(f"""with k as (select c_custkey, c_custkey % 4 n, coalesce(sum(c_custkey % 4) over (order by c_custkey rows between unbounded preceding and 1 preceding), 0) ahead from customer),
+i as (select c_custkey, ahead, unnest(range(n)) j from k) select 'urn:ex#item' || (5 + ahead + j)::bigint s, 'urn:ex#a' p, (c_custkey + j)::varchar o, 'literal' o_kind, '{_X}long' dt from i""")
+def mapper_mint_lists(spark: SparkSession, d: str) -> DataFrame:
+    """A list of IRIs is minted for each row, as long as a list that the row has."""
+    size, key = (F.col("c_custkey") % 4).cast("int"), F.col("c_custkey")
+    a = F.transform(F.slice(F.sequence(F.lit(0), F.lit(3)), F.lit(1), size), lambda j: key + j)
+    c = table(spark, d, "customer").select(F.format_string("%09d", key).alias("Key"), F.concat(F.lit("urn:ex#customer"), key).alias("x"), a.alias("a"))
+    return _plain(Mapping(_TEMPLATES, spark).expand("ex:Sized", c, mint_iris={"nodes": MintingOptions("urn:ex#item", 5, same_length_as="a")}).triples())
+
+
+@query(f"select 'urn:ex#nation' || n_nationkey s, 'urn:ex#name' p, n_name o, '{RDF}langString' o_dt, 'en' o_lang from nation union all select 'urn:ex#nation' || n_nationkey, 'urn:ex#note', 'fixed', '{RDF}langString', 'nb-NO' from nation")
+def mapper_language_tags(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("Key"), F.concat(F.lit("urn:ex#nation"), "n_nationkey").alias("x"), F.col("n_name").alias("name"))
+    return Mapping(_TEMPLATES, spark).expand("ex:Named", n, language_tags={"name": "en"}).triples().select("s", "p", "o", "o_dt", "o_lang")
+
+
+@query(f"""select 'urn:ex#order' || o_orderkey s, 'urn:ex#here' p, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') o, 'literal' o_kind, '{_X}dateTime' dt from orders
+union all select 'urn:ex#order' || o_orderkey, 'urn:ex#there', strftime(o_orderdate + interval 2 hour, '%Y-%m-%dT%H:%M:%S') || '+02:00', 'literal', '{_X}dateTimeStamp' from orders""")
+def mapper_time_zones(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("Key"), F.concat(F.lit("urn:ex#order"), "o_orderkey").alias("x"), F.col("o_orderdate").cast("timestamp").alias("here"), F.col("o_orderdate").cast("timestamp").alias("there"))
+    return _plain(Mapping(_TEMPLATES, spark).expand("ex:Times", o, time_zones={"there": "Etc/GMT-2"}, validate=False).triples())
+
+
 def _lists(spark: SparkSession, d: str, template: str) -> DataFrame:
     s = table(spark, d, "sensors").select(F.col("id").alias("Key"), F.concat(F.lit("urn:ex#"), "id").alias("x"), F.array("phys_min", "phys_max").alias("a"), F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"), F.lit(None).cast("bigint")).alias("b"))
     return _plain(Mapping(_TEMPLATES, spark).expand(template, s).triples())

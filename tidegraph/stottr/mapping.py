@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from pathlib import Path
@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tidegraph.operators.ordered import positions
 from tidegraph.session import Spool, col
+from tidegraph.sparql.algebra import Triple
 from tidegraph.stottr.parser import ANY_URI, NONE, OTTR, TRIPLE, Argument, Instance, ListTerm, Parameter, Template, Templates, Type, parse_document
 from tidegraph.terms import RDF, XSD, Blank, Iri, Literal, Var
 
@@ -387,6 +388,24 @@ class Mapping:
     def write_ntriples(self, path: str) -> None:
         write_ntriples(self.triples(), path)
 
+    def objects(self) -> Iterator[Triple]:
+        """The triples as objects, of Iri, Blank and Literal; the driver holds one partition of them at a time."""
+        node = lambda x: Blank(x.removeprefix("_:")) if x.startswith("_:") else Iri(x)
+        for r in self.triples().toLocalIterator():
+            o = Literal(r["o"], r["o_dt"] or XSD + "string", r["o_lang"]) if r["o_kind"] == "literal" else node(r["o"])
+            yield Triple(node(r["s"]), Iri(r["p"]), o)
+
+    def to_graph(self) -> object:
+        """An rdflib Graph of the triples, where that library is installed."""
+        import rdflib
+
+        graph = rdflib.Graph()
+        node = lambda x: rdflib.BNode(x.label) if isinstance(x, Blank) else rdflib.URIRef(x.value)
+        for t in self.objects():
+            o = rdflib.Literal(t.o.lexical, lang=t.o.lang) if isinstance(t.o, Literal) and t.o.lang else rdflib.Literal(t.o.lexical, datatype=t.o.datatype) if isinstance(t.o, Literal) else node(t.o)
+            graph.add((node(t.s), node(t.p), o))
+        return graph
+
 
 def ntriples(triples: DataFrame) -> DataFrame:
     """(value): each triple as a line of N-Triples, escaped."""
