@@ -1,5 +1,7 @@
 """Templates: parsing, typing, expansion, minting, resolving, N-Triples."""
 
+import contextlib
+import importlib.util
 from datetime import datetime
 
 import pytest
@@ -7,7 +9,8 @@ import pytest
 from tidegraph.engine import Engine
 from tidegraph.stottr.mapping import ColumnTypeMismatch, IrrelevantColumn, KeyColumnError, Mapping, MintingOptions, MissingColumn, NonBlankViolated, NonOptionalNull, PTypeNotSupported, ResolveIRI, ResolvingError, ntriples
 from tidegraph.stottr.parser import TemplateError, Templates, Type, parse_document
-from tidegraph.terms import RDF, XSD
+from tidegraph.sparql.algebra import Triple
+from tidegraph.terms import RDF, XSD, Blank, Iri, Literal
 
 EX = "http://example.net/ns#"
 HEAD = f"@prefix ex:<{EX}>.\n"
@@ -71,6 +74,30 @@ def test_mint_lists(spark):
     assert short(m.triples()) == [("n1", "p", "7", "int"), ("n2", "p", "8", "int"), ("n3", "p", "9", "int")]
 
 
+def test_mint_lists_over_partitions(spark):
+    """Lists of any length, some empty or null, numbered in order of their keys over many partitions."""
+    rows = [(f"{k:04}", None if k % 11 == 0 else [k] * (k % 4)) for k in range(400)]
+    m = Mapping(HEAD + "ex:T [?v, List<xsd:anyURI> ?b] :: { zipMax | ex:N(++?b, ++?v) } . ex:N [xsd:anyURI ?n, ? xsd:int ?v] :: { ottr:Triple(?n, ex:p, ?v) } .", spark)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        m.expand("ex:T", spark.createDataFrame(rows, "Key string, v array<int>").repartition(7), mint_iris={"b": MintingOptions(EX + "n", 2, same_length_as="v")}, validate=False)
+        got = {int(r.s.removeprefix(EX + "n")): int(r.o) for r in m.triples().collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == dict(enumerate([x for _, v in rows for x in v or []], 2))
+
+
+def test_triples_as_objects(spark):
+    m = Mapping(HEAD + 'ex:T [xsd:anyURI ?a, ?b] :: { ottr:Triple(?a, ex:p, ?b), ottr:Triple(_:n, ex:q, ?a), ottr:Triple(?a, ex:r, "hei"@nb) } .', spark)
+    m.expand("ex:T", spark.createDataFrame([("1", EX + "s", 5)], "Key string, a string, b int"))
+    s, p = Iri(EX + "s"), lambda x: Iri(EX + x)
+    want = [Triple(s, p("p"), Literal("5", XSD + "int")), Triple(s, p("r"), Literal("hei", RDF + "langString", "nb"))]
+    got = list(m.objects())
+    assert [t for t in got if t.s == s] == want and [(type(t.s), t.o) for t in got if t.p == p("q")] == [(Blank, s)]
+    with pytest.raises(ImportError) if not importlib.util.find_spec("rdflib") else contextlib.nullcontext():
+        assert len(m.to_graph()) == 3
+
+
 def test_datatypes(spark):
     names = "abcdefghi"
     text = f"ex:T [{', '.join('?' + n for n in names)}] :: {{ {', '.join(f'ottr:Triple(ex:x, ex:{n}, ?{n})' for n in names)} }} ."

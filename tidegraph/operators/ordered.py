@@ -53,7 +53,7 @@ def positions(df: DataFrame, key: str, order: Sequence[str], spool: Spool, weigh
     before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     rows = F.sum(weight) if weight else F.count(F.lit(1))
     counts = numbered.groupBy(key, "part").agg(rows.alias("rows")).withColumn("ahead", F.coalesce(F.sum("rows").over(before), F.lit(0)))
-    # of the keys that cross a partition border, a row per partition; Catalyst broadcasts it while it is small
-    split = counts.where("ahead > 0").select(F.col(key).alias("split_key"), F.col("part").alias("split_part"), "ahead")
+    # of the keys that cross a partition border, a row per partition; written, so that its size is known and decides on a broadcast
+    split, _ = spool.write(counts.where("ahead > 0").select(F.col(key).alias("split_key"), F.col("part").alias("split_part"), "ahead"))
     joined = numbered.join(split, (F.col(key) == F.col("split_key")) & (F.col("part") == F.col("split_part")), "left")
     return joined.select(*df.columns, (F.col("place") + F.coalesce("ahead", F.lit(0))).alias("pos")), path
