@@ -10,12 +10,14 @@ from tidegraph.llm.lookalike import lookalike_classes, lookalike_pairs, unify_te
 from tidegraph.llm.packing import pack, vocabulary_count, word_punct_count
 from tidegraph.llm.percentiles import cell_percentiles, count_cells, exact_percentiles, merge_cells
 from tidegraph.plans.queries import HEAD, PRODUCTION, engine, table
+from tidegraph.session import Spool
 
 
 def _production(spark: SparkSession, d: str) -> DataFrame:
-    """The production readings by turbine; the graph names the series, it is small and of fixed size."""
+    """The production readings by turbine. The series that the graph names are written first, so that their size decides on a broadcast."""
     series = engine(spark, d).execute_hybrid_query(f"{HEAD} SELECT DISTINCT ?site_label ?wtur_label ?id WHERE {{ {PRODUCTION} ?ts otit:hasExternalId ?id }}")
-    return table(spark, d, "ts").select("id", "ts", "v").where("v is not null").join(F.broadcast(series), "id")
+    named, _ = Spool(spark).write(series)
+    return table(spark, d, "ts").select("id", "ts", "v").where("v is not null").join(named, "id")
 
 
 KEYS = ["site_label", "wtur_label"]
@@ -117,7 +119,17 @@ b as (select doc_id, text, translate(x, wide || 'ｱｲｳｴｵｶｷｸｹｺ
 c as (select doc_id, text, translate(nfc_normalize(y), '{_CYRILLIC[0]}{_GREEK[0]}', '{_CYRILLIC[1]}{_GREEK[1]}') z from b),
 f as (select doc_id, text, nfc_normalize(replace(replace(replace(replace(replace(replace(z, 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ĳ', 'ij')) form from c)"""
 
+# Leaked items told by pairs of neighbouring words in bands of places, where the operator goes by letters and aligns words.
+_LEAKS = rf"""with texts as (select 2 * doc_id doc_id, text from documents union all select 2 * item_id + 1, text from benchmark), {_FORMS.replace("from documents)", "from texts)")},
+words as (select doc_id, regexp_extract_all(strip_accents(lower(regexp_replace(regexp_replace(regexp_replace(form, '(\x1b|\\+u001b|\\+x1b|\\+033)\[[0-9;]*[A-Za-z]', ' ', 'g'),
+    '</?[A-Za-z][A-Za-z0-9]*(\s[^<>]*)?/?>|&[a-z]+;|&#[0-9]+;', ' ', 'g'), '\\+[nrt"]', ' ', 'g'))), '[\p{{L}}\p{{Nd}}]+') w from f where form <> ''),
+grams as (select doc_id, len(w) n, unnest(range(1, len(w))) p, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) g from words),
+hits as (select d.doc_id // 2 doc_id, i.doc_id // 2 item_id, i.n, i.p, (d.p - i.p + 1000000) // 12 band from grams d join grams i on i.g = d.g and d.doc_id % 2 = 0 and i.doc_id % 2 = 1),
+bands as (select * from hits union all select doc_id, item_id, n, p, band - 1 from hits)
+select distinct doc_id, item_id from (select doc_id, item_id from bands group by doc_id, item_id, n, band having count(distinct p) >= 0.5 * (n - 1))"""
+
 SQL = {
+    "p7_found": _LEAKS,
     "p4_found": f"with {_PRODUCTION} select site_label, wtur_label from r group by all having quantile_cont(v, 0.95) >= 3 * quantile_cont(v, 0.5)",
     "p4_percentiles": f"""with {_PRODUCTION}, q as (select site_label, wtur_label, count(*) n, unnest([0.05, 0.25, 0.5, 0.75, 0.95, 0.99])::double p,
     unnest(quantile_cont(v, [0.05, 0.25, 0.5, 0.75, 0.95, 0.99])) v from r group by site_label, wtur_label) select site_label, wtur_label, p, n, round(v, 3) v from q""",
