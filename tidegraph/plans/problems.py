@@ -44,8 +44,10 @@ def p2_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _turbine_days(spark: SparkSession, d: str) -> DataFrame:
+    """The rows, repeated ones once, with their day; a day that no calendar has is null."""
     rows = table(spark, d, "wtur_avg").distinct()
-    return rows.withColumn("calendar_day", F.try_to_date(F.format_string("%04d-%02d-%02d", "year", "month", "day")))
+    first = F.make_date(F.when(F.col("year").between(1, 9999), F.col("year")), F.when(F.col("month").between(1, 12), F.col("month")), F.lit(1))
+    return rows.withColumn("calendar_day", F.when(F.col("day").between(1, F.dayofmonth(F.last_day(first))), F.date_add(first, F.col("day") - 1)))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
