@@ -1,10 +1,13 @@
 """Packing keeps everything, keeps to the capacity, and wastes little."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidegraph.llm import packing
+from tidegraph.llm.queries import VOCABULARY
 from tidegraph.llm.packing import _across, _brackets, pack, vocabulary_count, word_punct_count
 
 
@@ -85,6 +88,10 @@ def test_across():
 def test_token_counts(spark):
     df = spark.createDataFrame([("a b, c!!",), ("",), (None,), ("x" * 100_000,)], "t string")
     assert [r[0] for r in df.select(word_punct_count(F.col("t"))).collect()] == [5, 0, 0, 1]
-    P = pytest.importorskip("public_tokenizers")
-    counted = vocabulary_count(df, "t", P.path("byte_bpe_50k.json")).collect()
-    assert counted[0]["tokens"] >= 4 and counted[1]["tokens"] == counted[2]["tokens"] == 0
+    path = Path(VOCABULARY)
+    if not path.exists():
+        pytest.skip("no vocabulary file")
+    more = df.unionByName(spark.createDataFrame([("the cat sat <|endoftext|> it's",), ("naïve 東京",)], "t string"))
+    counted = [r["tokens"] for r in vocabulary_count(more, "t", str(path)).collect()]
+    # a special token's string is ordinary text: the cat sat < | end of text | > it 's; and bytes of letters outside the vocabulary count each
+    assert counted[:3] == [5, 0, 0] and counted[4:] == [12, 7]

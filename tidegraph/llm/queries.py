@@ -22,7 +22,7 @@ def _production(spark: SparkSession, d: str) -> DataFrame:
 
 KEYS = ["site_label", "wtur_label"]
 #: A tokenizer file that executors can read.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
