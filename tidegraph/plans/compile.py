@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 from functools import reduce
 from itertools import combinations
 
@@ -18,7 +18,7 @@ from tidegraph.session import Spool, col
 from tidegraph.sources.graph import TripleStore
 from tidegraph.sources.series import Bound, InconsistentDatatype, SeriesError, SeriesSource
 from tidegraph.sparql import algebra as A
-from tidegraph.terms import Iri, Literal, Var, literal_column, spark_type
+from tidegraph.terms import XSD, Iri, Literal, Var, literal_column, spark_type
 
 #: Solutions of the graph part are broadcast to the series up to this number of rows; beyond it they are joined by shuffling.
 MOST_BROADCAST = 100_000
@@ -80,6 +80,21 @@ def _linear(e: A.Expr) -> tuple[dict[A.Expr, int], int]:
     return {e: 1}, 0
 
 
+def _period(e: A.Expr, vocabulary: str) -> int | None:
+    """The whole seconds k of a period written as FLOOR(seconds since 1970 / k), with or without a cast around it or k times it."""
+    k = lambda x: int(float(x.term.lexical)) if isinstance(x, A.Const) and isinstance(x.term, Literal) and x.term.lexical.replace(".", "", 1).isdigit() and float(x.term.lexical) % 1 == 0 else None
+    if isinstance(e, A.Op) and e.name == "*" and len(e.args) == 2:
+        inner, factor = (e.args if not isinstance(e.args[0], A.Const) else e.args[::-1])
+        period = _period(inner, vocabulary)
+        return period if period and period == k(factor) else None
+    if isinstance(e, A.Call) and e.name in (XSD + "integer", XSD + "long") and len(e.args) == 1:
+        return _period(e.args[0], vocabulary)
+    if isinstance(e, A.Call) and e.name == "FLOOR" and isinstance(e.args[0], A.Op) and e.args[0].name == "/":
+        count, size = e.args[0].args
+        return k(size) if isinstance(count, A.Call) and count.name == vocabulary + "DateTimeAsSeconds" and isinstance(count.args[0], A.Ref) else None
+    return None
+
+
 def _subsets(names: Sequence[str]) -> list[set[str] | None]:
     """All sets of the variables that may be unbound together; None, for no division by them, if they are more than three."""
     return [set(c) for k in range(len(names) + 1) for c in combinations(names, k)] if len(names) <= 3 else [None]
@@ -587,6 +602,14 @@ class Compiler:
         return out
 
     def _group(self, node: A.Group) -> Solutions:
+        asked = self._processed(node)
+        if asked is not None:
+            held, self.series = self.series, asked
+            try:
+                sums = [(v, replace(a, name="SUM" if a.name == "COUNT" else a.name)) for v, a in node.aggregates]
+                return self._group(A.Group(node.of, node.keys, sums))
+            finally:
+                self.series = held
         of = self._bounded_by([k.name for k in node.keys], node.of)
         e = self.expressions(of)
         times = [f.name for f in of.df.schema if isinstance(f.dataType, T.TimestampType)]
@@ -602,6 +625,51 @@ class Compiler:
             df = df.withColumn(n, F.lit(None).cast("string"))
         return Solutions(df, (of.nullable & set(keys)) | set(lost) | {v.name for v, a in node.aggregates if a.name not in ("COUNT", "SUM")})
 
+    def _processed(self, node: A.Group) -> SeriesSource | None:
+        """A source of aggregates over intervals, where the series' own source gives such and the group asks for no more.
+
+        That is one SUM, COUNT, MIN or MAX of the values of one data point by whole periods of its time and by names of the graph, and no
+        condition but bounds of the time that lie on periods. The aggregates of several series of a group are then aggregated again.
+        """
+        if not hasattr(self.series, "scan_processed") or len(node.aggregates) != 1:
+            return None
+        a = node.aggregates[0][1]
+        if a.name not in ("SUM", "COUNT", "MIN", "MAX") or a.distinct or not isinstance(a.arg, A.Ref):
+            return None
+        inner, extends, conds = node.of, [], []
+        while isinstance(inner, (A.Extend, A.Filter)):
+            if isinstance(inner, A.Extend):
+                extends.append(inner)
+            else:
+                conds += A.conjuncts(inner.cond)
+            inner = inner.of
+        voc = self.options.vocabulary
+        of = lambda k: [t for t in inner.triples if isinstance(t.p, Iri) and t.p.value == voc + k]
+        if not isinstance(inner, A.Bgp) or any(len(of(k)) != 1 for k in ("hasDataPoint", "hasValue", "hasTimestamp")):
+            return None
+        dp, value, time = of("hasDataPoint")[0].o, of("hasValue")[0].o, of("hasTimestamp")[0].o
+        used = [t for t in inner.triples if {dp, value, time} & {t.s, t.o}]
+        if value != a.arg.var or len(used) != 3 or not isinstance(time, Var) or len(extends) != 1 or A.references(extends[0].expr) != {time.name}:
+            return None
+        seconds = _period(extends[0].expr, voc)
+        keys = {k.name for k in node.keys}
+        if not seconds or extends[0].var.name not in keys or keys & {v.name for v in (dp, value, time) if isinstance(v, Var)}:
+            return None
+        for c in conds:
+            held, self.bounds = self.bounds, {}
+            self._note_bound(c)
+            bounds, self.bounds = self.bounds.get(time.name, []), held
+            on = [op in (">=", "<") and (at - datetime(1970, 1, 1)) % timedelta(seconds=seconds) == timedelta() for op, at in bounds]
+            if not on or not all(on):
+                return None
+        source = self.series
+
+        class Processed:
+            def scan(self, datatype: str | None, bounds: Sequence[Bound] = ()) -> DataFrame:
+                return source.scan_processed(datatype, bounds, a.name, seconds)
+
+        return Processed() if source.scan_processed(None, [("<", datetime(1970, 1, 1))], a.name, seconds) is not None else None
+
     def _orderby(self, node: A.OrderBy) -> Solutions:
         of = self.compile(node.of)
         e = self.expressions(of)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tidegraph.engine import Engine
 from tidegraph.session import Spool
 from tidegraph.sources.graph import TripleStore
-from tidegraph.sources.series import FrameSource, TableSource, TimeSeriesTable
+from tidegraph.sources.series import FrameSource, HistorySource, TableSource, TimeSeriesTable
 from tidegraph.streaming.available import readings_stream, run_available
 from tidegraph.stottr.mapping import Mapping, MintingOptions, ResolveIRI, ntriples
 from tidegraph.terms import RDF, RDFS, XSD, Iri
@@ -279,6 +280,36 @@ def partition_scope(spark: SparkSession, d: str) -> DataFrame:
     return partitioned_engine(spark, d).execute_hybrid_query(HEAD + q)
 
 
+def _history(spark: SparkSession, d: str) -> HistorySource:
+    """The readings of ``ts1`` behind a history service's two ways of reading: raw, and aggregates of intervals."""
+    rows = table(spark, d, "ts1").where("id is not null and timestamp is not null and value is not null")
+
+    def read(start: datetime | None, end: datetime | None) -> DataFrame:
+        out = rows if start is None else rows.where(F.col("timestamp") >= F.lit(start))
+        return out if end is None else out.where(F.col("timestamp") < F.lit(end))
+
+    def processed(start: datetime | None, end: datetime | None, aggregate: str, seconds: int) -> DataFrame:
+        at = F.timestamp_seconds(F.floor(F.unix_seconds("timestamp") / seconds) * seconds)
+        return read(start, end).groupBy("id", at.alias("timestamp")).agg(F.expr(f"{aggregate}(value)").alias("value"))
+
+    return HistorySource(read, processed)
+
+
+@query(f"{_SR} select w, us // 600000000 period, sum(v)::bigint total from x where us >= 1640995200000000 group by all")
+def history_processed(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of ten minutes are handed to the service, those of a widget's sensors are added up here."""
+    q = f'SELECT ?w ?period (SUM(?v) AS ?total) WHERE {{ {SENSOR} {READ} BIND(xsd:integer(FLOOR({SECONDS} / 600.0)) AS ?period) FILTER(?t >= "2022-01-01T00:00:00Z"^^xsd:dateTime) }} GROUP BY ?w ?period'
+    return engine(spark, d).set_time_series(_history(spark, d)).execute_hybrid_query(HEAD + q)
+
+
+@query(f"{_SR} select w, us // 600000000 period, avg(v) mean from x where us > 1641016800000000 and us <= 1641276000000000 group by all")
+def history_raw(spark: SparkSession, d: str) -> DataFrame:
+    """Bounds that do not lie on periods, and means, need the readings themselves, from within the bounds alone."""
+    q = f"""SELECT ?w ?period (AVG(?v) AS ?mean) WHERE {{ {SENSOR} {READ} BIND(xsd:integer(FLOOR({SECONDS} / 600.0)) AS ?period)
+    FILTER(?t > "2022-01-01T06:00:00Z"^^xsd:dateTime && ?t <= "2022-01-04T06:00:00Z"^^xsd:dateTime) }} GROUP BY ?w ?period"""
+    return engine(spark, d).set_time_series(_history(spark, d)).execute_hybrid_query(HEAD + q)
+
+
 @query(f"{_SR} select w, count(*) n, sum(v)::bigint total from x where us >= 1640995200000000 group by w")
 def csv_series(spark: SparkSession, d: str) -> DataFrame:
     """Readings of ``ts1`` from CSV files."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import reduce
 from typing import Protocol
 
@@ -28,7 +28,10 @@ class InconsistentDatatype(SeriesError):
 
 class SeriesSource(Protocol):
     def scan(self, datatype: str | None, bounds: Sequence[Bound] = ()) -> DataFrame:
-        """(id, timestamp, value) of the series of a datatype; of all if there is but one table. bounds may be used to read less."""
+        """(id, timestamp, value) of the series of a datatype; of all if there is but one table. bounds may be used to read less.
+
+        A source may also have ``scan_processed(datatype, bounds, aggregate, seconds)``, which gives aggregates over intervals, or None.
+        """
 
 
 @dataclass
@@ -134,18 +137,26 @@ class TableSource:
         return rows.select(col(t.identifier_column).alias("id"), col(t.timestamp_column).alias("timestamp"), col(t.value_column).alias("value"))
 
 
+def span_of(bounds: Sequence[Bound]) -> tuple[datetime | None, datetime | None]:
+    """The span from a start, inclusive, to an end, exclusive, that holds all times within the bounds; None where there is no bound."""
+    start = max((at for op, at in bounds if op in (">", ">=", "=")), default=None)
+    end = min((at if op == "<" else at + timedelta(microseconds=1) for op, at in bounds if op in ("<", "<=", "=")), default=None)
+    return start, end
+
+
 @dataclass
 class HistorySource:
     """A history service: ``read`` gives (id, timestamp, value) from a start (inclusive) to an end (exclusive), either may be None.
 
-    Strict bounds are kept as they are: the rows outside are filtered by the query.
+    Strict bounds are kept as they are: the rows outside are filtered by the query. ``processed``, if given, is asked for aggregates over
+    intervals: (start, end, aggregate, seconds) to a frame (id, start of interval, aggregate), with AVG, SUM, COUNT, MIN or MAX.
     """
 
     read: Callable[[datetime | None, datetime | None], DataFrame]
+    processed: Callable[[datetime | None, datetime | None, str, int], DataFrame] | None = None
 
     def scan(self, datatype: str | None, bounds: Sequence[Bound] = ()) -> DataFrame:
-        from datetime import timedelta
+        return self.read(*span_of(bounds)).select("id", "timestamp", "value")
 
-        start = max((at for op, at in bounds if op in (">", ">=", "=")), default=None)
-        end = min((at for op, at in bounds if op in ("<", "<=", "=")), default=None)
-        return self.read(start, end and end + timedelta(microseconds=1)).select("id", "timestamp", "value")
+    def scan_processed(self, datatype: str | None, bounds: Sequence[Bound], aggregate: str, seconds: int) -> DataFrame | None:
+        return self.processed(*span_of(bounds), aggregate, seconds).select("id", "timestamp", "value") if self.processed else None
