@@ -114,6 +114,18 @@ def test_grid_within_days(spark):
     assert regular_grid(df.limit(0), "id", "ts", "v").collect() == []
 
 
+@pytest.mark.parametrize("kind, v", [("int", [-(2**31), 2**31 - 1, -1]), ("bigint", [-(2**62), 2**62, -1]), ("double", [-0.5, 1e300, -2.0]), ("string", ["a", "c", "b"])])
+def test_the_last_value_of_a_period(spark, kind, v):
+    """Of readings at one instant the greatest, for values of any type."""
+    rows = [("a", T0, v[1]), ("a", T0 + timedelta(microseconds=599_999_999), v[0]), ("a", T0 + timedelta(microseconds=599_999_999), v[2]), ("a", T0 + timedelta(seconds=600), v[1])]
+    df = spark.createDataFrame(rows, f"id string, ts timestamp, v {kind}")
+    df = df if kind != "string" else df.withColumn("v", F.ascii("v").cast("smallint"))
+    want = [v[2], v[1]] if kind != "string" else [98, 99]
+    if kind == "double":
+        want[0] = v[0]
+    assert [r.v_last for r in regular_grid(df, "id", "ts", "v").orderBy("slot").collect()] == want
+
+
 def test_grid_over_a_whole_life(spark):
     rng = np.random.default_rng(3)
     rows = [(f"s{i % 3}", T0 - timedelta(days=3) + timedelta(seconds=int(x)), i) for i, x in enumerate(rng.integers(6 * 86400, size=150))]
