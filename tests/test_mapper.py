@@ -74,6 +74,18 @@ def test_mint_lists(spark):
     assert short(m.triples()) == [("n1", "p", "7", "int"), ("n2", "p", "8", "int"), ("n3", "p", "9", "int")]
 
 
+def test_resolve_nested_lists(spark):
+    m = Mapping(HEAD + """ex:T [xsd:anyURI ?a, xsd:anyURI ?b] :: { ottr:Triple(?a, ex:p, ?b) } .
+    ex:L [xsd:anyURI ?a, List<List<xsd:anyURI>> ?b] :: { cross | ex:M(?a, ++?b) } . ex:M [xsd:anyURI ?a, List<xsd:anyURI> ?b] :: { cross | ottr:Triple(?a, ex:r, ++?b) } .""", spark)
+    m.expand("ex:T", spark.createDataFrame([(k, EX + k) for k in "abc"], "Key string, a string"), mint_iris={"b": MintingOptions(EX + "n", 0)})
+    rows = [("x", EX + "x", [["c", "a"], [], ["none", "b"]]), ("y", EX + "y", [["a", "a"], None]), ("z", EX + "z", [])]
+    lists = m._resolve(spark.createDataFrame(rows, "Key string, a string, f array<array<string>>"), "b", ResolveIRI("f", "ex:T", "b"))
+    n = lambda i: EX + f"n{i}"
+    assert {r.Key: r.b for r in lists.collect()} == {"x": [[n(2), n(0)], [], [None, n(1)]], "y": [[n(0), n(0)], None], "z": None}
+    m.expand("ex:L", spark.createDataFrame(rows, "Key string, a string, f array<array<string>>"), resolve_iris={"b": ResolveIRI("f", "ex:T", "b")}, validate=False)
+    assert [t for t in short(m.triples()) if t[1] == "r"] == [("x", "r", "n0"), ("x", "r", "n1"), ("x", "r", "n2"), ("y", "r", "n0"), ("y", "r", "n0")]
+
+
 def test_mint_lists_over_partitions(spark):
     """Lists of any length, some empty or null, numbered in order of their keys over many partitions."""
     rows = [(f"{k:04}", None if k % 11 == 0 else [k] * (k % 4)) for k in range(400)]

@@ -363,20 +363,30 @@ class Mapping:
         return placed
 
     def _resolve(self, df: DataFrame, name: str, r: ResolveIRI) -> DataFrame:
-        """Left join on the keys; a key without an IRI gives null, in a list too."""
+        """Left join on the keys; a key without an IRI gives null, in lists of any depth too; a list without elements gives null."""
         iri = self.templates.find(r.template).iri
         if iri not in self.minted or r.argument not in self.minted[iri].columns:
             raise ResolvingError(f"{r.argument} of {r.template} was not minted before")
         known = self.minted[iri].select(F.col(KEY).alias("__k"), col(r.argument).alias(name))
-        kind = df.schema[r.key_column].dataType
-        if isinstance(kind, T.ArrayType):
-            if isinstance(kind.elementType, T.ArrayType):
-                raise ResolvingError("lists of lists of keys are not supported")
-            apart = df.select(KEY, F.posexplode(col(r.key_column)).alias("__at", "__k")).join(known, "__k", "left")
-            lists = apart.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("__at", name))).alias("__l")).select(F.col(KEY).alias("__key"), F.transform("__l", lambda x: x[name]).alias(name))
-            return df.join(lists, F.col(KEY) == F.col("__key"), "left").drop("__key", r.key_column)
+        kind, depth = df.schema[r.key_column].dataType, 0
+        while isinstance(kind, T.ArrayType):
+            kind, depth = kind.elementType, depth + 1
+        if depth:
+            lists = self._looked_up(df.select(KEY, col(r.key_column).alias("__v")), [KEY], depth, known.withColumnRenamed(name, "__iri"))
+            return df.join(lists.select(F.col(KEY).alias("__key"), F.col("__v").alias(name)), F.col(KEY) == F.col("__key"), "left").drop("__key", r.key_column)
         return df.join(known, col(r.key_column) == F.col("__k"), "left").drop("__k", r.key_column)
 
+    def _looked_up(self, rows: DataFrame, by: list[str], depth: int, known: DataFrame) -> DataFrame:
+        """(by..., __v): in the lists __v of keys, nested ``depth`` deep, each key replaced by its IRI in its place."""
+        at = f"__at{depth}"
+        apart = rows.select(*by, F.posexplode("__v").alias(at, "__v"))
+        if depth == 1:
+            made = apart.join(known, F.col("__v") == F.col("__k"), "left").select(*by, at, F.col("__iri").alias("__v"))
+        else:
+            # lists without elements have no rows below, but keep their place
+            made = apart.join(self._looked_up(apart, [*by, at], depth - 1, known).withColumnRenamed("__v", "__w"), [*by, at], "left").select(*by, at, F.coalesce("__w", F.when(F.size("__v") == 0, F.array())).alias("__v"))
+        return made.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(at, "__v"))).alias("__l")).select(*by, F.transform("__l", lambda x: x["__v"]).alias("__v"))
+
     # results ------------------------------------------------------------------------------------
 
     def triples(self) -> DataFrame:
