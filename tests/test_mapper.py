@@ -8,7 +8,8 @@ import pytest
 
 from tidegraph.engine import Engine
 from tidegraph.stottr.mapping import ColumnTypeMismatch, IrrelevantColumn, KeyColumnError, Mapping, MintingOptions, MissingColumn, NonBlankViolated, NonOptionalNull, PTypeNotSupported, ResolveIRI, ResolvingError, ntriples
-from tidegraph.stottr.parser import TemplateError, Templates, Type, parse_document
+from tidegraph.stottr import mapping as M
+from tidegraph.stottr.parser import TemplateError, TemplateNotFound, Templates, Type, TypesDisagree, UnknownPrefix, parse_document
 from tidegraph.sparql.algebra import Triple
 from tidegraph.terms import RDF, XSD, Blank, Iri, Literal
 
@@ -145,6 +146,36 @@ def test_errors(spark, text, rows, schema, error):
         run(spark, text, rows, schema)
 
 
+@pytest.mark.parametrize(
+    "options, rows, schema, error",
+    [
+        ({}, [(1, "x")], "Key int, a string", M.InvalidKeyColumnType), ({}, [("x",)], "a string", M.MissingKeyColumn), ({}, [("1", "x"), ("1", "y")], "Key string, a string", M.DuplicateKeys),
+        ({"resolve_iris": {"a": ResolveIRI("f", "ex:T", "a")}}, [("1",)], "Key string", M.MissingForeignKeyColumn), ({"resolve_iris": {"a": ResolveIRI("f", "ex:T", "a")}}, [("1", "k")], "Key string, f string", M.NothingMintedForTemplate),
+        ({"time_zones": {"a": "Mars/Base"}}, [("1", "x")], "Key string, a string", M.UnknownTimeZone), ({}, [("1", {"k": 1})], "Key string, a map<string,int>", PTypeNotSupported),
+    ],
+)
+def test_kinds_of_errors(spark, options, rows, schema, error):
+    text = ONE if "map" not in schema else "ex:T [?a] :: { ottr:Triple(ex:x, ex:p, ?a) } ."
+    with pytest.raises(error):
+        run(spark, text, rows, schema, **options)
+
+
+def test_errors_of_minting_and_lists(spark):
+    m = Mapping(HEAD + "ex:T [xsd:anyURI ?a, xsd:anyURI ?b] :: { ottr:Triple(?a, ex:p, ?b) } .", spark)
+    rows = lambda *keys: spark.createDataFrame([(k, EX + k) for k in keys], "Key string, a string")
+    m.expand("ex:T", rows("k1", "k2"), mint_iris={"b": MintingOptions(EX + "n")})
+    with pytest.raises(M.MintedBefore):
+        m.expand("ex:T", rows("k2", "k3"), mint_iris={"b": MintingOptions(EX + "m")})
+    m.expand("ex:T", rows("k3"), mint_iris={"b": MintingOptions(EX + "m")})
+    with pytest.raises(M.NothingMintedForArgument):
+        m.expand("ex:T", spark.createDataFrame([("k4", "k1", EX + "x")], "Key string, f string, b string"), resolve_iris={"a": ResolveIRI("f", "ex:T", "a")})
+    with pytest.raises((M.UnlikeTerms, TemplateError)):
+        run(spark, 'ex:T [xsd:anyURI ?a] :: { cross | ottr:Triple(?a, ex:p, ++(1, "x")) } .', [("1", EX + "s")], "Key string, a string")
+    for text, error in (("ex:T [?a] :: { ex:No(?a) } .", TemplateNotFound), ("ex:T [?a] :: { foo:T(?a) } .", UnknownPrefix), ("ex:T [xsd:int ?a] :: { ottr:Triple(?a, ex:p, 1) } .", TypesDisagree)):
+        with pytest.raises(error):
+            Templates([parse_document(HEAD + text)])
+
+
 @pytest.mark.parametrize("text", ["ex:T [?a] :: { ex:No(?a) } .", "ex:T [?a] :: { ottr:Triple(?a) } .", "ex:T [?a] :: { ex:T(?a) } .", "ex:T [?a, ?a] .", "ex:T [?a] :: { foo:T(?a) } .", "@prefix ex:<http://other#> .", "ex:T [xsd:int ?a] :: { ottr:Triple(?a, ex:p, 1) } ."])
 def test_bad_documents(text):
     with pytest.raises(TemplateError):

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from pathlib import Path
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +33,34 @@ class KeyColumnError(MappingError):
     """The Key column is missing, not of strings, null or not unique."""
 
 
+class MissingKeyColumn(KeyColumnError):
+    pass
+
+
+class InvalidKeyColumnType(KeyColumnError):
+    pass
+
+
+class DuplicateKeys(KeyColumnError):
+    pass
+
+
 class MissingColumn(MappingError):
     pass
 
 
+class MissingForeignKeyColumn(MissingColumn):
+    pass
+
+
+class UnknownTimeZone(MappingError):
+    pass
+
+
+class UnlikeTerms(MappingError):
+    """The terms of a constant list are of several types."""
+
+
 class IrrelevantColumn(MappingError):
     pass
 
@@ -48,6 +73,10 @@ class PTypeNotSupported(MappingError):
     pass
 
 
+class TypeNotInferred(PTypeNotSupported):
+    """A column's type has no datatype."""
+
+
 class NonOptionalNull(MappingError):
     pass
 
@@ -60,10 +89,22 @@ class MintingError(MappingError):
     pass
 
 
+class MintedBefore(MintingError):
+    """A key has an IRI for this argument already."""
+
+
 class ResolvingError(MappingError):
     pass
 
 
+class NothingMintedForTemplate(ResolvingError):
+    pass
+
+
+class NothingMintedForArgument(ResolvingError):
+    pass
+
+
 @dataclass(frozen=True)
 class MintingOptions:
     """IRIs prefix + n, n counting from start in order of Key (rows of a DataFrame have no order of their own); a list of them per row if a length or a column of the same length is given."""
@@ -95,6 +136,13 @@ class Value:
     zone: str | None = None
 
 
+def _check_zone(zone: str) -> None:
+    try:
+        ZoneInfo(zone)
+    except (ZoneInfoNotFoundError, ValueError) as e:
+        raise UnknownTimeZone(f"{zone} is no time zone") from e
+
+
 def lexical(v: Value) -> Column:
     """The lexical form of a literal."""
     local = (v.datatype or "").removeprefix(XSD)
@@ -152,10 +200,12 @@ class Mapping:
         t = self.templates.find(template)
         resolve_iris, mint_iris, language_tags, time_zones = resolve_iris or {}, mint_iris or {}, language_tags or {}, time_zones or {}
         self._check_columns(t, df, resolve_iris, mint_iris, validate)
+        for zone in time_zones.values():
+            _check_zone(zone)
         for name, r in resolve_iris.items():
             df = self._resolve(df, name, r)
         if mint_iris:
-            df = self._mint(t, df, mint_iris)
+            df = self._mint(t, df, mint_iris, validate)
         made = set(mint_iris) | set(resolve_iris)
         env: dict[str, Value] = {}
         for p in t.parameters:
@@ -173,8 +223,10 @@ class Mapping:
         return self
 
     def _check_columns(self, t: Template, df: DataFrame, resolve: dict, mint: dict, validate: bool) -> None:
-        if KEY not in df.columns or not isinstance(df.schema[KEY].dataType, T.StringType):
-            raise KeyColumnError(f"a column {KEY} of strings is needed")
+        if KEY not in df.columns:
+            raise MissingKeyColumn(f"a column {KEY} is needed")
+        if not isinstance(df.schema[KEY].dataType, T.StringType):
+            raise InvalidKeyColumnType(f"the column {KEY} is of type {df.schema[KEY].dataType.simpleString()}, not string")
         names = {p.name for p in t.parameters}
         for given in (*resolve, *mint):
             if given not in names:
@@ -183,7 +235,9 @@ class Mapping:
                 raise MappingError(f"{given} is both a column and to be minted or resolved")
         keys = {r.key_column for r in resolve.values()}
         missing = [p.name for p in t.parameters if p.name not in df.columns and p.name not in mint and p.name not in resolve and p.default is None and not p.optional]
-        missing += [k for k in keys if k not in df.columns]
+        absent = [k for k in keys if k not in df.columns]
+        if absent:
+            raise MissingForeignKeyColumn(f"columns {absent} of keys to be resolved are missing")
         if missing:
             raise MissingColumn(f"columns {missing} are missing")
         extra = [c for c in df.columns if c not in names and c != KEY and c not in keys]
@@ -192,7 +246,7 @@ class Mapping:
         if validate:
             bad = df.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col(KEY).isNull() | (F.col("n") > 1)).limit(5).collect()
             if bad:
-                raise KeyColumnError(f"keys null or not unique: {[r[KEY] for r in bad]}")
+                raise DuplicateKeys(f"keys null or not unique: {[r[KEY] for r in bad]}")
 
     def _check_rows(self, t: Template, df: DataFrame) -> None:
         for p in t.parameters:
@@ -230,7 +284,7 @@ class Mapping:
         if isinstance(kind, T.NullType):
             return Value("none", F.lit(None).cast("string"))
         if local is None:
-            raise PTypeNotSupported(f"{name} is of type {kind.simpleString()}, which is not supported")
+            raise TypeNotInferred(f"{name} is of type {kind.simpleString()}, which is not supported")
         if zone:
             local = "dateTimeStamp"
         if wanted is not None and wanted.name.startswith(XSD) and wanted.name != XSD + local:
@@ -262,7 +316,7 @@ class Mapping:
             items = [self._term(x, env) for x in term.items]
             kinds = {(v.kind, v.datatype, v.lang) for v in items}
             if len(kinds) > 1:
-                raise MappingError("a list of unlike terms is not supported")
+                raise UnlikeTerms(f"a list holds terms of {len(kinds)} types")
             if not items:
                 return Value("list", F.array().cast("array<string>"), of=Value("none", F.lit(None).cast("string")))
             one = items[0]
@@ -326,7 +380,7 @@ class Mapping:
 
     # minting and resolving ----------------------------------------------------------------------
 
-    def _mint(self, t: Template, df: DataFrame, mint: dict[str, MintingOptions]) -> DataFrame:
+    def _mint(self, t: Template, df: DataFrame, mint: dict[str, MintingOptions], validate: bool = True) -> DataFrame:
         """Adds minted IRIs. Keys are numbered over range partitions; of lists, the first number of a row is the sum of the lengths before it."""
         self.spool = self.spool or Spool(df.sparkSession)
         sizes = {}
@@ -359,14 +413,22 @@ class Mapping:
                 placed = placed.withColumn(name, F.when(n > 0, F.transform(F.sequence(first, first + n - 1), numbered)).otherwise(empty)).drop("__before")
         placed = placed.drop("__pos")
         own = placed.select(KEY, *mint)
+        if t.iri in self.minted and validate:
+            again = set(mint) & set(self.minted[t.iri].columns)
+            known = self.minted[t.iri].where(reduce(lambda x, y: x | y, (col(n).isNotNull() for n in again))).select(KEY) if again else None
+            bad = own.join(known, KEY, "left_semi").limit(5).collect() if again else []
+            if bad:
+                raise MintedBefore(f"keys with IRIs for {sorted(again)} already: {[r[KEY] for r in bad]}")
         self.minted[t.iri] = own if t.iri not in self.minted else self.minted[t.iri].unionByName(own, allowMissingColumns=True)
         return placed
 
     def _resolve(self, df: DataFrame, name: str, r: ResolveIRI) -> DataFrame:
         """Left join on the keys; a key without an IRI gives null, in lists of any depth too; a list without elements gives null."""
         iri = self.templates.find(r.template).iri
-        if iri not in self.minted or r.argument not in self.minted[iri].columns:
-            raise ResolvingError(f"{r.argument} of {r.template} was not minted before")
+        if iri not in self.minted:
+            raise NothingMintedForTemplate(f"no IRIs were minted for {r.template} before")
+        if r.argument not in self.minted[iri].columns:
+            raise NothingMintedForArgument(f"{r.argument} of {r.template} was not minted before")
         known = self.minted[iri].select(F.col(KEY).alias("__k"), col(r.argument).alias(name))
         kind, depth = df.schema[r.key_column].dataType, 0
         while isinstance(kind, T.ArrayType):
