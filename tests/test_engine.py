@@ -313,6 +313,14 @@ def test_a_predicate_of_most_triples_is_many_tasks(spark):
     assert len(files) >= 10 and max(r["count"] for r in files) < 45_000 / 4
 
 
+def test_a_saved_graph(spark, engine, readings, tmp_path):
+    engine.store.save(str(tmp_path / "graph"))
+    loaded = Engine(TripleStore.load(spark, str(tmp_path / "graph"))).set_time_series(FrameSource(readings))
+    q = f"SELECT ?x (SUM(?v) AS ?all) WHERE {{ {LEVEL} ?x ?p ?o }} GROUP BY ?x"
+    assert same(ask(loaded, q), ask(engine, q)) and loaded.store.triples.count() == engine.store.triples.count()
+    assert "PartitionFilters: [isnotnull(p" in plan(loaded, "SELECT ?x WHERE { ?x a pl:Intake }")
+
+
 def compatible(a, b):
     return all(a[k] == b[k] for k in a.keys() & b.keys())
 

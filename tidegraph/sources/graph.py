@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +48,17 @@ class TripleStore:
             self._written = spool.write(rows, by=["p"] if few else None)[0]
         return self._written
 
+    def save(self, path: str) -> None:
+        """Writes the triples as they are kept for queries, to be loaded by later applications."""
+        spread = self.triples.repartitionByRange("p", "s", "o").sortWithinPartitions("p", "s")
+        spread.write.parquet(path, partitionBy=["p"] if self.triples.select("p").distinct().limit(MOST_PREDICATES + 1).count() <= MOST_PREDICATES else None)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, prefixes: dict[str, str] | None = None, graphs: bool = False) -> TripleStore:
+        """What ``save`` wrote; nothing is written again. graphs: whether the triples are of named graphs."""
+        columns = [*TRIPLE_COLUMNS, *(["g"] if graphs else [])]
+        return cls(spark.read.schema(", ".join(f"{c} string" for c in columns)).parquet(path), prefixes, distinct=False)
+
     def name(self, iri: str) -> str:
         """An IRI as the table writes it."""
         for prefix, start in self.prefixes:
