@@ -160,6 +160,41 @@ def test_series_crosses_midnight_and_sets_reset_clocks_apart(spark, tmp_path):
     assert got == want
 
 
+def test_life_has_every_period_of_a_long_silence(spark, tmp_path):
+    """No silence divides p2_life: the decades after a reset clock and the years of a source that was off are all there, once each."""
+    at = {"reset": [datetime(1970, 1, 1, 0, 5), T0, T0 + timedelta(minutes=25)], "off": [T0 - timedelta(days=800, minutes=7), T0], "on": [T0, T0 + timedelta(days=2)]}
+    spark.createDataFrame([(k, t, i) for k, ts in at.items() for i, t in enumerate(ts)], "id string, ts timestamp, v int").write.parquet(f"{tmp_path}/ts.parquet")
+    slot = lambda t: int((t - datetime(1970, 1, 1)).total_seconds()) // 600 * 600
+    ends = {k: (slot(ts[0]), slot(ts[-1])) for k, ts in at.items()}
+    got = problems.p2_life(spark, str(tmp_path)).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("slot").alias("kinds"), F.min("slot").alias("lo"), F.max("slot").alias("hi"))
+    assert {r.id: (r.n, r.kinds, r.lo, r.hi) for r in got.collect()} == {k: (n := (hi - lo) // 600 + 1, n, lo, hi) for k, (lo, hi) in ends.items()}
+    sums = {(r.id, r.status): (r.periods, r.n, r.filled_sum) for r in problems.p2_life_sums(spark, str(tmp_path)).collect()}
+    assert {k: sums["reset", k] for k in ("observed", "carried")} == {"observed": (3, 3, 3), "carried": (7, 0, 1)}
+    assert {k: sums["off", k][0] for k in ("observed", "carried", "missing")} == {"observed": 2, "carried": 6, "missing": (ends["off"][1] - ends["off"][0]) // 600 - 7}
+
+
+@pytest.mark.parametrize("silence, gap", [(None, 7200), (None, 86400), (None, 300), (86400, 86400), (3 * 86400, 3600)])
+def test_lives_with_silences_of_days(spark, many_partitions, silence, gap):
+    """Silences of none to many days, ends just before and after midnight."""
+    rng = np.random.default_rng(5)
+    rows = [(f"s{i % 4}", T0 + timedelta(days=int(rng.choice([-90, -9, -7, -6, -2, -1, 0, 1, 40])), seconds=int(rng.choice([0, 60, 43200, 82800, 86399]))), i) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, ts timestamp, v int")
+    got = regular_grid(df, "id", "ts", "v", max_gap_s=gap, whole_life=True, max_silence_s=silence).collect()
+    want = []
+    for s in {k for k, _, _ in rows}:
+        readings = defaultdict(list)
+        for k, t, v in rows:
+            if k == s:
+                e = int((t - datetime(1970, 1, 1)).total_seconds())
+                readings[e // 600 * 600].append((e, v))
+        slots = sorted(readings)
+        for a, b in zip(slots, [*slots[1:], None]):
+            want.append((s, a, len(readings[a]), max(readings[a])[1], "observed"))
+            if b is not None and (silence is None or b - a <= silence):
+                want += [(s, x, 0, max(readings[a])[1] if x - a <= gap else None, "carried" if x - a <= gap else "missing") for x in range(a + 600, b, 600)]
+    assert sorted((r.id, r.slot, r.n, r.filled, r.status) for r in got) == sorted(want)
+
+
 # rolling totals -----------------------------------------------------------------------------------
 
 

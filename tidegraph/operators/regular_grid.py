@@ -21,9 +21,10 @@ def regular_grid(
 
     whole_life=False: a source's periods go from the first to the last reading of each segment with readings.
     whole_life=True: from its first to its last reading of all; a value may then be carried into the next segment, for which
-    the aggregates within max_gap_s before a segment's end are also given to the next. With max_silence_s, a source's life is
-    divided where the periods of two successive readings are further apart: a clock reset to 1970 is a life of its own, in full, and
-    the decades between two lives have no periods.
+    the aggregates within max_gap_s before a segment's end are also given to the next. Segments without readings beyond that have
+    only missing periods, which are made without a join. With max_silence_s, a source's life is divided where the periods of two
+    successive readings are further apart: a clock reset to 1970 is a life of its own, in full, and the decades between two lives
+    have no periods. Without it they have, 52 560 a year.
 
     Result: key, slot (start of the period, seconds since 1970-01-01 UTC), n (readings), v_mean, v_min, v_max,
     v_last (of the latest reading; of several at that instant the greatest), filled (v_last, or that of the last period
@@ -50,30 +51,35 @@ def regular_grid(
         .agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("v_mean"), F.min("v").alias("v_min"), F.max("v").alias("v_max"), F.max(latest).alias("latest"))
         .select("k", "seg", "slot", "n", "v_mean", "v_min", "v_max", last.alias("v_last"))
     )
-    ends = (F.min("slot").alias("lo"), F.max("slot").alias("hi"))
+    days = rows.groupBy("k", "seg").agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
+    silent = None
     if whole_life:
-        life = rows.groupBy("k").agg(*ends)
-        if max_silence_s is not None:
-            # a silence is longer than a segment, so it lies between segments, of which a source has few
-            days = Window.partitionBy("k").orderBy("seg")
-            begins = F.coalesce(F.col("lo") - F.lag("hi").over(days) > max_silence_s, F.lit(False)).cast("int")
-            life = rows.groupBy("k", "seg").agg(*ends).withColumn("begins", begins).withColumn("life", F.sum("begins").over(days))
-            life = life.groupBy("k", "life").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        # a segment's periods begin max_gap_s before it, so far as the life does: they are looked at for what they carry and left out
+        # a source has few segments with readings; those without any lie between them
+        by_day = Window.partitionBy("k").orderBy("seg")
+        days = days.withColumn("before", F.col("lo") - F.lag("hi").over(by_day)).withColumn("after", F.lead("lo").over(by_day) - F.col("hi")).withColumn("next", F.lead("seg").over(by_day))
+        near_enough = lambda silence: F.col(silence).isNotNull() if max_silence_s is None else F.coalesce(F.col(silence) <= max_silence_s, F.lit(False))
+        # a segment's periods begin max_gap_s before it: they are looked at for what they carry and left out
         reach = max_gap_s // period_s * period_s
-        bounds = life.select("k", F.explode(F.sequence(segment(F.col("lo")), segment(F.col("hi")))).alias("seg"), "lo", "hi").select(
-            "k", "seg", F.greatest("lo", F.col("seg") * segment_s - reach).alias("lo"), F.least("hi", (F.col("seg") + 1) * segment_s - period_s).alias("hi")
-        ).repartition("k", "seg")
+        own = F.struct("seg", F.when(near_enough("before"), F.col("seg") * segment_s - reach).otherwise(F.col("lo")).alias("lo"), F.when(near_enough("after"), (F.col("seg") + 1) * segment_s - period_s).otherwise(F.col("hi")).alias("hi"))
+        following = F.struct((F.col("seg") + 1).alias("seg"), ((F.col("seg") + 1) * segment_s - reach).alias("lo"), ((F.col("seg") + 2) * segment_s - period_s).alias("hi"))
+        held = F.when(near_enough("after") & (F.col("next") > F.col("seg") + 1), F.array(own, following)).otherwise(F.array(own))
+        bounds = days.select("k", F.explode(held).alias("held")).select("k", "held.*").repartition("k", "seg")
         late = F.col("slot") >= (F.col("seg") + 1) * segment_s - reach
         buckets = buckets.withColumn("seg", F.explode(F.when(late, F.array(F.col("seg"), F.col("seg") + 1)).otherwise(F.array("seg"))))
+        # nothing is carried any further: the segments up to the next with readings are neither joined nor sorted. Decades of them are
+        # spread by pieces over a number of partitions that is not lowered for the pieces being few
+        piece_s = 30 * segment_s
+        silent = days.where(near_enough("after") & (F.col("next") > F.col("seg") + 2)).select("k", ((F.col("seg") + 2) * segment_s).alias("lo"), (F.col("next") * segment_s - period_s).alias("hi"))
+        silent = silent.select("k", "hi", F.explode(F.sequence("lo", "hi", F.lit(piece_s).cast("bigint"))).alias("lo")).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k", "lo")
+        silent = silent.select("k", F.explode(F.sequence("lo", F.least("hi", F.col("lo") + (piece_s - period_s)), F.lit(period_s).cast("bigint"))).alias("slot"))
     else:
-        bounds = rows.groupBy("k", "seg").agg(*ends)
+        bounds = days
     grid = bounds.select("k", "seg", F.explode(F.sequence("lo", "hi", F.lit(period_s).cast("bigint"))).alias("slot"))
     order = Window.partitionBy("k", "seg").orderBy("slot")
     joined = grid.join(buckets, ["k", "seg", "slot"], "left")
     seen = F.last(F.when(F.col("n").isNotNull(), F.struct("slot", "v_last")), ignorenulls=True).over(order)
     near = F.col("slot") - F.col("seen.slot") <= max_gap_s
-    return (
+    periods = (
         joined.withColumn("seen", seen)
         .where(F.col("slot") >= F.col("seg") * segment_s)
         .select(
@@ -82,3 +88,7 @@ def regular_grid(
             F.when(F.col("n").isNotNull(), "observed").when(near, "carried").otherwise("missing").alias("status"),
         )
     )
+    if silent is None:
+        return periods
+    made = [F.col("k"), F.col("slot"), F.lit(0), *[F.lit(None)] * 5, F.lit("missing")]
+    return periods.union(silent.select(*(c.cast(f.dataType).alias(f.name) for c, f in zip(made, periods.schema, strict=True))))

@@ -38,11 +38,22 @@ def p2_days(spark: SparkSession, d: str) -> DataFrame:
 def p2_grid(spark: SparkSession, d: str) -> DataFrame:
     """Every period from a source's first to its last reading, nights and empty days included.
 
-    A silence of more than a year divides a source's life: clocks reset to 1970 would stretch it to decades.
+    A silence of more than a year divides a source's life: clocks reset to 1970 would stretch it to decades. p2_life has these too.
     """
     return regular_grid(table(spark, d, "ts"), "id", "ts", "v", whole_life=True, max_silence_s=YEAR_S)
 
 
+def p2_life(spark: SparkSession, d: str) -> DataFrame:
+    """Every period from a source's first to its last reading, however long it was silent: 52 years of them for a clock reset to 1970."""
+    return regular_grid(table(spark, d, "ts"), "id", "ts", "v", whole_life=True)
+
+
+def p2_life_sums(spark: SparkSession, d: str) -> DataFrame:
+    """What p2_life has of each source and status, few enough rows to be held against the SQL."""
+    sums = (F.count(F.lit(1)).alias("periods"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.sum("slot").alias("slot_sum"), F.sum("n").alias("n"), F.sum("filled").alias("filled_sum"))
+    return p2_life(spark, d).groupBy("id", "status").agg(*sums)
+
+
 def _turbine_days(spark: SparkSession, d: str) -> DataFrame:
     """The rows, repeated ones once, with their day; a day that no calendar has is null."""
     rows = table(spark, d, "wtur_avg").distinct()
@@ -70,7 +81,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_flags(spark, d).select("dp")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_key_stats, p2_found, p2_grid, p2_days, p3_found, p3_rolling, p5_found, p5_flags)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_key_stats, p2_found, p2_grid, p2_life, p2_life_sums, p2_days, p3_found, p3_rolling, p5_found, p5_flags)}
 
 _BUCKETS = """
 r as (select id, epoch_us(ts) us, v from ts where id is not null and ts is not null and v is not null),
@@ -78,6 +89,16 @@ b as (select id, us // 86400000000 seg, us // 600000000 * 600 slot, count(*) n,
     arg_max(v, (us, v)) v_last from r group by all),
 g as (select id, seg, unnest(generate_series(min(slot), max(slot), 600)) slot from b group by id, seg)"""
 
+_LIFE = """
+with r as (select id, epoch_us(ts) us, v from ts where id is not null and ts is not null and v is not null),
+b as (select id, us // 600000000 * 600 slot, count(*) n, avg(v) v_mean, min(v) v_min, max(v) v_max, arg_max(v, (us, v)) v_last from r group by all),
+g as (select id, unnest(generate_series(min(slot), max(slot), 600)) slot from b group by id),
+j as (select g.id, g.slot, coalesce(n, 0) n, v_mean, v_min, v_max, v_last from g left join b using (id, slot)),
+f as (select *, last_value(case when n > 0 then slot end ignore nulls) over w seen, last_value(v_last ignore nulls) over w carried
+    from j window w as (partition by id order by slot))
+select id, slot, n, v_mean, v_min, v_max, v_last, case when slot - seen <= 3600 then carried end filled,
+    case when n > 0 then 'observed' when slot - seen <= 3600 then 'carried' else 'missing' end status from f"""
+
 _DAYS = """
 rows as (select distinct * from wtur_avg where site_label is not null and wtur_label is not null),
 daily as (select site_label, wtur_label, make_date(year, month, day) d, count(avg_val) n, coalesce(sum(avg_val), 0) total from rows group by all)"""
@@ -129,6 +150,8 @@ f as (select *, last_value(case when n > 0 then slot end ignore nulls) over w se
     from j window w as (partition by id order by slot))
 select id, slot, n, v_mean, v_min, v_max, v_last, case when slot - seen <= 3600 then carried end filled,
     case when n > 0 then 'observed' when slot - seen <= 3600 then 'carried' else 'missing' end status from f""",
+    "p2_life_sums": f"""select id, status, count(*) periods, min(slot) first_slot, max(slot) last_slot, sum(slot)::bigint slot_sum, sum(n)::bigint n,
+    sum(filled)::bigint filled_sum from ({_LIFE}) group by id, status""",
     "p3_found": f"""
 with {_DAYS},
 c as (select site_label, wtur_label, unnest(generate_series(date_trunc('quarter', d)::date + 29, max(d), interval 1 day))::date d
