@@ -1,11 +1,13 @@
 """Forms of look-alike texts against the Unicode database, and pairs against brute force."""
 
 import unicodedata
+from types import SimpleNamespace
 
 import duckdb
 import pyarrow as pa
 import pytest
 
+from tidegraph.llm import lookalike
 from tidegraph.llm.lookalike import DRAWN_APART, LETTERS, form_sql, invisible_ranges, letters_alike, lookalike_classes, lookalike_pairs, published_letters, single_forms, unify_text
 
 ALIKE = [
@@ -57,6 +59,24 @@ def test_recall_of_published_letters(spark):
     assert [c for c, to in listed.items() if published.get(c, to) != to] == ["ӏ"]
 
 
+def test_no_result_without_the_published_letters(spark, monkeypatch):
+    """Where the confusables data can't be read, or are empty, there is an error and no result of fewer letters."""
+    for session in (SimpleNamespace(_jvm=SimpleNamespace(com=spark._jvm.com.no.such.place)), SimpleNamespace()):
+        with pytest.raises(RuntimeError, match="ICU"):
+            letters_alike(session)
+    df = spark.createDataFrame([(1, "Ꭺ"), (2, "A")], "i int, t string")
+    assert [tuple(r) for r in lookalike_pairs(df, "i", "t").collect()] == [(1, 2)]
+
+    def broken(jvm):
+        raise TypeError("'JavaPackage' object is not callable")
+
+    for reads in (broken, lambda jvm: ""):
+        monkeypatch.setattr(lookalike, "published_letters", reads)
+        for make in (lookalike_pairs, lookalike_classes, lambda df, i, t: unify_text(df, t)):
+            with pytest.raises(RuntimeError, match="ICU"):
+                make(df, "i", "t")
+
+
 def test_classes_of_many_copies(spark):
     """Copies of a text in two encodings make a row each, not pairs; the class of most rows is one row in each table joined to them."""
     df = spark.range(200_000).selectExpr("id", "case when id % 2 = 0 then 'café' else 'cafe\u0301' end t").unionByName(spark.createDataFrame([(-1, "other"), (-2, None), (-3, "")], "id long, t string"))

@@ -44,11 +44,16 @@ def published_letters(jvm: object) -> str:
 
 
 def letters_alike(spark: SparkSession) -> str:
-    """The published look-alike letters without DRAWN_APART, and LETTERS; the latter stand where both name a letter."""
+    """The published look-alike letters without DRAWN_APART, and LETTERS; the latter stand where both name a letter.
+
+    Without the published ones texts that look alike would have different forms, so where they can't be had this is an error.
+    """
     try:
         published = published_letters(spark._jvm)
-    except Exception:  # a JVM without the library  # noqa: BLE001
-        published = ""
+    except Exception as e:  # a JVM without the library, a session without a JVM
+        raise RuntimeError("the confusables data can't be read: they need the ICU library (com.ibm.icu) in the JVM of the session") from e
+    if not published:
+        raise RuntimeError("the confusables data of the JVM's ICU library name no letter that looks like a Latin one")
     known = {p[0] for p in LETTERS.split()} | set(DRAWN_APART)
     return " ".join([*LETTERS.split(), *(p for p in published.split() if p[0] not in known)])
 
